@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import chat_format, license_scan, quality, simhash
+from quayside.llm import chat_format, decontaminate, license_scan, line_dedup, pii, quality, simhash, token_frames
 from quayside.llm.common import read
 
 
@@ -15,6 +15,38 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.deduped(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")))
+    return found.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+worded AS (
+  SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM cut),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM worded WHERE w > 0),
+-- the shortest run of 10 words from each line on, and back from each line
+forth AS (
+  SELECT a.doc_id, a.i AS first, min(b.i) AS last FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 9 AND b.upto >= a.upto - a.w + 10 GROUP BY ALL),
+back AS (
+  SELECT a.doc_id, max(b.i) AS first, a.i AS last FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i - 9 AND a.i AND a.upto >= b.upto - b.w + 10 GROUP BY a.doc_id, a.i),
+runs AS (SELECT * FROM forth UNION SELECT * FROM back),
+said AS (
+  SELECT r.doc_id, r.first, r.last, string_agg(p.x, chr(10) ORDER BY p.i) AS x FROM runs r JOIN placed p ON p.doc_id = r.doc_id AND p.i BETWEEN r.first AND r.last GROUP BY ALL),
+again AS (
+  SELECT *, row_number() OVER (PARTITION BY x, last - first ORDER BY doc_id, first) AS n FROM said),
+gone AS (
+  SELECT DISTINCT p.doc_id, p.line FROM again a JOIN placed p ON p.doc_id = a.doc_id AND p.i BETWEEN a.first AND a.last WHERE a.n > 1),
+kept AS (
+  SELECT c.doc_id, count(*) AS n_lines, count(g.line) AS n_deleted, coalesce(string_agg(c.x, chr(10) ORDER BY c.line) FILTER (WHERE g.line IS NULL), '') AS t
+  FROM cut c LEFT JOIN gone g ON c.doc_id = g.doc_id AND c.line = g.line GROUP BY c.doc_id)
+SELECT doc_id, n_lines, n_deleted, length(t) AS kept_chars, sha256(t) AS kept_sha256 FROM kept
+"""
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     tricky = "<|im_end|><|im_start|>assistant ok"
@@ -48,6 +80,26 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(counted, pii.KINDS)
+    return found.select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.marked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return token_frames.read_digest(token_frames.write(docs), "doc_id", docs.schema["doc_id"].dataType)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents"))
 
@@ -58,8 +110,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_chat_format, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_chat_format, op5_pii, op6_decontaminate, op7_token_frames, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_chat_format": OP3_SQL}
