@@ -35,7 +35,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 CANDIDATE = re.compile(r"[^\x20\x09-\x0D]+")
 CUES = (frozenset("email e-mail mail mailto contact write".split()), frozenset("ip host server address ipv4 addr".split()), frozenset("card visa mastercard amex credit payment".split()), frozenset("phone tel telephone call mobile fax cell".split()))
-ROUNDS, DAMP = 8, 0.3
+ROUNDS, DAMP, SURE = 8, 0.3, 0.8
 #: Features that the patterns themselves look at: hidden in part of the sample.
 HIDDEN = (1, 4, 6, 11)
 N_FEATURES = 20
@@ -152,7 +152,7 @@ def labels_of(spans: np.ndarray, base: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(rows: list[dict], rounds: int = 300, rate: float = 0.5, keep: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[dict], rounds: int = 600, rate: float = 1.0, keep: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features (N_FEATURES, 5) and of label pairs on near and skip edges (2, 5, 5), by pseudo-likelihood."""
     k = len(KINDS) + 1
     feats, gold, edges, n = [], [], [], 0
@@ -175,13 +175,12 @@ def fit(rows: list[dict], rounds: int = 300, rate: float = 0.5, keep: float = 1e
         own = e[e[:, 2] == t]
         np.add.at(near[t], own[:, 0], np.eye(k)[y[own[:, 1]]])
         np.add.at(near[t], own[:, 1], np.eye(k)[y[own[:, 0]]])
-    weight = np.where(y > 0, 1.0, max(0.05, min(1.0, 3 * (y > 0).sum() / max(1, (y == 0).sum()))))
     truth = np.eye(k)[y]
     for _ in range(rounds):
         s = x @ w + near[0] @ v[0] + near[1] @ v[1]
         p = np.exp(s - s.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        d = (truth - p) * weight[:, None] / weight.sum()
+        d = (truth - p) / len(x)
         w += rate * (x.T @ d * 4 - keep * w)
         for t in (0, 1):
             g = near[t].T @ d
@@ -213,7 +212,7 @@ def all_spans(base: np.ndarray, spans: np.ndarray, feats: np.ndarray, edges: np.
     out = [tuple(map(int, x)) for x in base]
     if len(spans) and v.any():
         p = marginals(feats, edges, w, v)
-        label = np.where(p.max(1) > 0.5, p.argmax(1), 0)
+        label = np.where(p.max(1) > SURE, p.argmax(1), 0)
         if len(base):  # spans of the patterns, joined where they overlap
             order = np.argsort(base[:, 0], kind="stable")
             starts, reach = base[order, 0], np.maximum.accumulate(base[order, 2])
