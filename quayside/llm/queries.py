@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import chat_format, decontaminate, license_scan, line_dedup, pii, quality, simhash, token_frames
+from quayside.llm import chat_format, decontaminate, license_scan, line_dedup, lm_score, pii, quality, simhash, token_frames
 from quayside.llm.common import read
 
 
@@ -80,6 +80,10 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read(spark, sf_dir, "documents"))
     shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -110,7 +114,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_chat_format, op5_pii, op6_decontaminate, op7_token_frames, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_chat_format, op4_lm_score, op5_pii, op6_decontaminate, op7_token_frames, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
