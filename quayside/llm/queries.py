@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import chat_format, decontaminate, license_scan, line_dedup, lm_score, pii, quality, simhash, token_frames
+from quayside.llm import chat_format, decontaminate, license_scan, line_dedup, lm_score, pii, quality, simhash, sp_sampling, token_frames
 from quayside.llm.common import read
 
 
@@ -104,6 +104,11 @@ def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.read_digest(token_frames.write(docs), "doc_id", docs.schema["doc_id"].dataType)
 
 
+def op8_sp_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sp_sampling.sample(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "sample", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion", "exact")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents"))
 
@@ -114,7 +119,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_chat_format, op4_lm_score, op5_pii, op6_decontaminate, op7_token_frames, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_chat_format, op4_lm_score, op5_pii, op6_decontaminate, op7_token_frames, op8_sp_sampling, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
