@@ -1 +1 @@
-
+"""Watching folders and event logs with Structured Streaming."""
