@@ -78,7 +78,7 @@ asked AS (SELECT * FROM (SELECT DISTINCT case_id FROM norm WHERE canonical IN ({
 hub AS (SELECT case_id, canonical, value, n, u, v FROM norm WHERE doc_type = '{hub}'),
 others AS (SELECT case_id, canonical, n, u, v FROM norm WHERE {targets}),
 results AS (SELECT a.case_id, a.field, CASE WHEN any_value(h.v) IS NULL OR count(o.v) = 0 THEN 'MISSING' WHEN count_if(NOT ({same})) > 0 THEN 'MISMATCH' ELSE 'MATCH' END AS status,
-    any_value(h.value) AS hub_value, count(o.v) AS n_papers, CASE WHEN any_value(h.v) IS NULL THEN 0 ELSE CAST(count_if(NOT ({same})) AS BIGINT) END AS n_differ
+    any_value(h.value) AS hub_value, count(o.v) AS n_papers, CASE WHEN any_value(h.v) IS NULL THEN 0 ELSE coalesce(CAST(count_if(NOT ({same})) AS BIGINT), 0) END AS n_differ
   FROM asked a LEFT JOIN hub h ON h.case_id = a.case_id AND h.canonical = a.field LEFT JOIN others o ON o.case_id = a.case_id AND o.canonical = a.field GROUP BY a.case_id, a.field)"""
 
 
@@ -124,7 +124,7 @@ WIDE = f"""{FIELDS},
 ranked AS (SELECT *, CAST({number('value')} AS DECIMAL(18,6)) AS x, row_number() OVER (PARTITION BY case_id ORDER BY doc_type <> 'declaration', seg, ord) AS place FROM fields),
 wide AS (SELECT case_id, {', '.join(f"arg_min(x, place) FILTER (WHERE canonical = '{f}' AND x IS NOT NULL) AS {f}" for f in ('fob', 'cif', 'freight', 'insurance', 'exchange_rate', 'customs_value', 'trade_promotion_fee', 'duty_amount', 'business_tax'))},
   {', '.join(f"arg_min(value, place) FILTER (WHERE canonical = '{f}' AND value <> '') AS {f}" for f in ('hs_code', 'duty_rate', 'import_regulation', 'mp1', 'bsmi', 'commodity_inspection'))} FROM ranked GROUP BY case_id),
-based AS (SELECT *, coalesce(customs_value, round(cif * exchange_rate, 0)) AS base FROM wide)"""
+based AS (SELECT *, coalesce(customs_value, round(CAST(cif AS DECIMAL(38,6)) * exchange_rate, 0)) AS base FROM wide)"""
 
 
 def rules_sql(prefix: str, table: str, rules: dict[str, str]) -> str:
@@ -133,7 +133,7 @@ def rules_sql(prefix: str, table: str, rules: dict[str, str]) -> str:
 
 TAX = {
     "cif_logic": "WHEN cif IS NULL AND fob IS NULL THEN 'MISSING' WHEN cif < fob THEN 'MISMATCH' WHEN fob + cif + freight + insurance IS NULL THEN 'PENDING' WHEN abs(fob + freight + insurance - cif) <= greatest(1, abs(fob + freight + insurance) * 0.005) THEN 'MATCH' ELSE 'MISMATCH'",
-    "customs_value": "WHEN customs_value IS NULL THEN 'MISSING' WHEN cif + exchange_rate IS NULL THEN 'PENDING' WHEN abs(round(cif * exchange_rate, 0) - customs_value) <= 3 THEN 'MATCH' ELSE 'MISMATCH'",
+    "customs_value": "WHEN customs_value IS NULL THEN 'MISSING' WHEN cif + exchange_rate IS NULL THEN 'PENDING' WHEN abs(round(CAST(cif AS DECIMAL(38,6)) * exchange_rate, 0) - customs_value) <= 3 THEN 'MATCH' ELSE 'MISMATCH'",
     "trade_promotion_fee": "WHEN trade_promotion_fee IS NULL THEN 'MISSING' WHEN base IS NULL THEN 'PENDING' WHEN abs(round(base * 0.0004, 0) - trade_promotion_fee) <= 2 THEN 'MATCH' ELSE 'MISMATCH'",
     "business_tax": "WHEN business_tax IS NULL THEN 'MISSING' WHEN base IS NULL THEN 'PENDING' WHEN abs(round((base + coalesce(duty_amount, 0) + coalesce(trade_promotion_fee, 0)) * 0.05, 0) - business_tax) <= 3 THEN 'MATCH' ELSE 'MISMATCH'",
     "duty_amount": "WHEN duty_amount IS NULL THEN 'MISSING' WHEN base IS NULL THEN 'PENDING' WHEN duty_amount < 0 THEN 'MISMATCH' ELSE 'MATCH'",
@@ -182,11 +182,11 @@ def oracle_sql() -> dict[str, str]:
         "classify_boundary": f"WITH {SCORES}" + correction("scores"),
         "text_structure": f"{figures}SELECT case_id, seg, len(list_filter(l, lambda x: trim(x) <> '')) AS n_lines, len(list_filter(l, lambda x: contains(x, ':'))) AS kv_lines, len(list_filter(l, lambda x: len(regexp_extract_all(x, '[0-9]+')) >= 3)) AS table_lines, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits, length(text) AS chars, len(regexp_extract_all(text, '(?i)[0-9](?: )?(?:KGS?|MT)')) AS weights, len(regexp_extract_all(text, '[A-Z]{{4}}[0-9]{{7}}')) AS containers FROM (SELECT *, string_split(text, chr(10)) AS l FROM papers)",
         "token_similarity": "WITH a AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents), s AS (SELECT item_id, count(*) AS n FROM a WHERE w <> '' GROUP BY 1) SELECT doc_id, item_id, count(*) AS shared, count(*) / any_value(n) AS share FROM d JOIN a USING (w) JOIN s USING (item_id) WHERE w <> '' GROUP BY 1, 2 HAVING count(*) / any_value(n) >= 0.8",
-        "segment_islands": "WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('view', 'click') THEN 'look' ELSE 'act' END AS kind FROM events WHERE user_id IS NOT NULL), m AS (SELECT *, row_number() OVER w - 1 AS at, row_number() OVER w - row_number() OVER (PARTITION BY user_id, kind ORDER BY ts, event_id) AS g FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT user_id, kind, min(at) AS first_at, max(at) AS last_at, count(*) AS n FROM m GROUP BY user_id, kind, g) SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY first_at) - 1 AS island, kind, first_at, last_at, n FROM r",
+        "segment_islands": "WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('view', 'click') THEN 'look' ELSE 'act' END AS kind FROM events WHERE user_id IS NOT NULL), m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, kind ORDER BY ts, event_id) AS g FROM e), r AS (SELECT user_id, kind, min(place) AS first_at, max(place) AS last_at, count(*) AS n FROM m GROUP BY user_id, kind, g) SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY first_at) - 1 AS island, kind, first_at, last_at, n FROM r",
         "page_texts": f"{figures}SELECT case_id, length(t) AS chars, md5(t) AS digest FROM (SELECT case_id, string_agg(text, chr(10) || chr(10) ORDER BY seg) AS t FROM papers GROUP BY 1)",
         "best_by_confidence": f"WITH {FIELDS} SELECT case_id, canonical, value FROM fields WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY case_id, canonical ORDER BY confidence DESC, seg, ord) = 1",
         "last_key": f"WITH {FIELDS} SELECT case_id, canonical, arg_max(value, seg) AS value FROM firsts GROUP BY 1, 2",
-        "ordered_values": "WITH f AS (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS o FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY o) AS r FROM f) SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY o) AS flags FROM k WHERE r <= 2 GROUP BY 1",
+        "ordered_values": "WITH f AS (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS o FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY o, l_returnflag) AS r FROM f) SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY o, l_returnflag) AS flags FROM k WHERE r <= 2 GROUP BY 1",
         "pair_scores": f"""WITH {KEYS}, v AS (SELECT DISTINCT key, value, translate(value, 'OIL', '011') AS f FROM keys WHERE key = 'bl_no' AND length(value) >= 6),
 b AS (SELECT key, value, 'w' || f AS block FROM v UNION SELECT key, value, 'e' || right(f, 6) FROM v UNION SELECT key, value, 'b' || left(f, length(value) - 2) FROM v),
 p AS (SELECT DISTINCT x.key, x.value AS a, y.value AS b FROM b x JOIN b y ON x.key = y.key AND x.block = y.block AND x.value < y.value),

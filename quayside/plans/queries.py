@@ -113,7 +113,7 @@ def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.fuzzy_terms(synthetic.papers(spark, sf_dir).filter("doc_type = 'bill_of_lading'").select(F.col("case_id").alias("doc_id"), F.translate("text", "OI", "01").alias("text")), "doc_id", ["bill of lading", "arrival notice"])
+    return classify.fuzzy_terms(synthetic.papers(spark, sf_dir).filter("doc_type = 'bill_of_lading'").select(F.col("case_id").alias("doc_id"), F.translate("text", "I", "1").alias("text")), "doc_id", ["bill of lading", "arrival notice"])
 
 
 # runs and windows
