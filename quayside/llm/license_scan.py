@@ -1,7 +1,7 @@
 """Licence scan: ordered signature rules behind a keyword gate, overlaps settled by priority and containment.
 
-Only DataFrame functions. One pass over the texts counts words and finds the base phrases; a second one reads the texts that
-pass the gate (a few in a hundred), pairs each with the rules whose keyword it holds, and finds their matches. Of the matches,
+Only DataFrame functions. One pass over the texts counts words and stores the texts that pass the gate (a few in a hundred);
+those are searched for the base phrases, paired with the rules whose keyword they hold, and searched for their matches. Of the matches,
 those that lie inside one of at least their own priority give way (the wider, then the earlier rule, wins among equals).
 """
 
@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import text_or_empty
+from quayside.llm.common import cut, text_or_empty
 from quayside.llm.license_rules import Rule, rules
 
 #: A character of a word, before A-Z are lower-cased, and what stands between words.
@@ -44,15 +44,15 @@ def base_places(text: Column) -> Column:
     return F.filter(F.array(*(one(*x) for x in BASE)), lambda x: x["n"] > 0)
 
 
-def detections(docs: DataFrame, signatures: list[Rule] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def detections(docs: DataFrame, signatures: list[Rule] | None = None, key: str = "doc_id", text: str = "text", gated: bool = False) -> DataFrame:
     """All matches that stand: key, rule_id, label, priority, confidence, start, end (code points, end exclusive).
 
     Rows that repeat a key share one set of matches. A null or empty text has none; columns besides key and text don't matter.
     """
     signatures = signatures or rules()
     table = F.from_json(F.lit(json.dumps([r._asdict() | {"pattern": f"(?i){r.pattern}"} for r in signatures])), "array<struct<rule_id:int,label:string,priority:int,keyword:string,pattern:string,confidence:double>>")
-    gated = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).filter(F.col("t").rlike(GATE))
-    tried = gated.withColumn("low", F.lower("t")).select("k", "t", F.explode(F.filter(table, lambda r: F.contains(F.col("low"), r["keyword"]))).alias("r"))
+    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
+    tried = (rows if gated else rows.filter(F.col("t").rlike(GATE))).withColumn("low", F.lower("t")).select("k", "t", F.explode(F.filter(table, lambda r: F.contains(F.col("low"), r["keyword"]))).alias("r"))
     hits = tried.select("k", "r.*", F.transform(F.regexp_extract_all("t", F.col("r.pattern"), F.lit(0)), F.length).alias("long"), F.split("t", F.col("r.pattern"), -1).alias("parts")).filter(F.size("long") > 0)
     # start of a match: all that stands before it, parts and matches, summed in the order of the text
     pieces = F.transform(F.col("long"), lambda n, i: F.struct(F.length(F.get(F.col("parts"), i)).alias("before"), n.alias("n")))
@@ -75,8 +75,10 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None, key: str = "doc_
     An empty table gives no rows; other columns are ignored, whatever their names.
     """
     t = F.col("t")
-    found = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).select("k", words(t).alias("n_words"), F.when(t.rlike(GATE), base_places(t)).alias("base"))
-    own = detections(docs, signatures, key, text).groupBy(F.col(key).alias("k2")).agg(F.collect_set("label").alias("own"), F.max("confidence").alias("sure"))
+    one_pass = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).select("k", words(t).alias("n_words"), F.when(t.rlike(GATE), t).alias("t"))
+    held = cut(one_pass, "licences")  # the texts that pass the gate, and every text's words
+    found = held.select("k", "n_words", F.when(t.isNotNull(), base_places(t)).alias("base"))
+    own = detections(held.filter(t.isNotNull()), signatures, "k", "t", gated=True).groupBy(F.col("k").alias("k2")).agg(F.collect_set("label").alias("own"), F.max("confidence").alias("sure"))
     both = found.join(own, F.col("k").eqNullSafe(F.col("k2")), "left")
     base = F.coalesce(F.col("base"), F.expr("array()").cast("array<struct<label:string,n:bigint,first:bigint,last:bigint>>"))
     some = F.size(base) > 0

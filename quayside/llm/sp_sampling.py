@@ -135,16 +135,22 @@ def lattice(words: list[str], pieces: Pieces, theta: float) -> Lattice:
     odd = np.flatnonzero(inside & ~single)  # characters without a piece go as bytes
     kinds, which = np.unique(code[odd], return_inverse=True)
     chars = [pieces.byte_ids[np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8)] for c in kinds.tolist()]
-    start, end = np.concatenate([*starts, odd]), np.concatenate([*ends, odd + 1])
-    piece = np.concatenate([*ids, which + len(pieces.scores)])
+    starts, ends, ids = [*starts, odd], [*ends, odd + 1], [*ids, which + len(pieces.scores)]
+    first = np.zeros(n + 1, np.int64)
+    np.cumsum(sum(np.bincount(s, minlength=n) for s in starts), out=first[1:])
+    start, end, piece = (np.empty(first[-1], np.int64) for _ in range(3))
+    free = first[:-1].copy()
+    for s, e, i in zip(starts, ends, ids):  # a node has one edge of each length at most: its next free place
+        to = free[s]
+        start[to], end[to], piece[to] = s, e, i
+        free[s] += 1
     weight = theta * np.where(piece < len(pieces.scores), pieces.scores[np.minimum(piece, len(pieces.scores) - 1)], 0.0)
-    order = np.lexsort((end, start))
-    start, end, piece, weight = start[order], end[order], piece[order], weight[order]
-    first = np.searchsorted(start, np.arange(n + 1))
     # backward sums: nodes by how many characters are left
     beta = np.zeros(n)
-    by_left = np.argsort(left[start], kind="stable")
-    bounds = np.searchsorted(left[start][by_left], np.arange(1, int(sizes.max(initial=0)) + 2))
+    longest = int(sizes.max(initial=0))
+    lefts = left[start].astype(np.uint16 if longest < 1 << 16 else np.int64)
+    by_left = np.argsort(lefts, kind="stable")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(lefts, minlength=longest + 1))])[1:]
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         if hi > lo:
             e = by_left[lo:hi]
@@ -192,7 +198,7 @@ class Path(NamedTuple):
 
 def drawn(lat: Lattice, node: np.ndarray, seed: np.ndarray, place: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Paths from nodes to the ends of their words: which one each edge belongs to, edge, its node, its place; in order."""
-    who = np.flatnonzero(~lat.last[node])
+    n, who = len(node), np.flatnonzero(~lat.last[node])
     node, place = node[who], place[who]
     out: list[tuple[np.ndarray, ...]] = []
     while len(who):
@@ -208,9 +214,13 @@ def drawn(lat: Lattice, node: np.ndarray, seed: np.ndarray, place: np.ndarray, s
         who, node, place = who[go], node[go], place[go]
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
-    who, e, node, place = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((place, who))
-    return who[order], e[order], node[order], place[order]
+    steps = sum(np.bincount(x[0], minlength=n) for x in out)
+    first, done = np.cumsum(steps) - steps, [np.empty(int(steps.sum()), np.int64) for _ in range(4)]
+    for i, parts in enumerate(out):  # each path's i-th edge
+        to = first[parts[0]] + i
+        for all_, part in zip(done, parts):
+            all_[to] = part
+    return tuple(done)
 
 
 def sampled(texts: list[str], keys: list[str], pieces: Pieces, k: int, theta: float, seed: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
