@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from quayside.llm.common import cut, text_or_empty
 
 MIN_WORDS = 10
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"\S+"  # ASCII white space parts words
 DOC = ["k", "d"]  # key and hash of the text
 
 
