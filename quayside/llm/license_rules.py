@@ -154,7 +154,7 @@ def rules() -> list[Rule]:
         label = label.removesuffix("-tag")
         for pattern, confidence in ((name, 0.95), (short, 0.85), (url, 0.9)):
             if pattern:
-                add(label, 2, max(keyword, literal(pattern), key=len), pattern, confidence)
+                add(label, 2, max(*keyword.split(), literal(pattern), key=len), pattern, confidence)
     for label, keyword, pattern in ([x.strip() for x in line.split(" ;")] for line in BARE.strip().splitlines()):
-        add(label, 1, max(keyword, literal(pattern), key=len), pattern, 0.6)
+        add(label, 1, max(*keyword.split(), literal(pattern), key=len), pattern, 0.6)
     return found

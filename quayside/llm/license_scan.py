@@ -8,6 +8,8 @@ those that lie inside one of at least their own priority give way (the wider, th
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,12 +18,16 @@ from quayside.llm.common import cut, text_or_empty
 from quayside.llm.license_rules import Rule, rules
 
 #: A character of a word, before A-Z are lower-cased, and what stands between words.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+WORD = r"[\p{Alnum}\P{ASCII}]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrase and label; the places where a phrase's words stand one after the other are the base of the result.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: What a text must hold for any rule or phrase to match.
-GATE = r"(?i)licen[sc]|copyright|spdx|creativecommons|\bcc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*by|cc0|public|gpl|mozilla|bsd|wtfpl|mpl|epl|cddl|eupl|sspl|mit[-/]|apache|rights|proprietary|shareware|hereby|redistribution|warrant|cecill|mulan|odc-by|affero|zlib|libpng|xfree86|jclark|odbl|eclipse|free\s+documentation|expat"
+#: What a text, in lower case, must hold for any rule or phrase to match: one of these words, or a match of GATE.
+WORDS = (
+    "licens", "licenc", "copyright", "spdx", "commons", "cc0", "public", "gpl", "mozilla", "bsd", "wtfpl", "cddl", "eupl", "sspl", "apache", "rights", "proprietary", "shareware", "hereby", "redistribution",
+    "warrant", "cecill", "mulan", "odc-by", "affero", "zlib", "libpng", "xfree86", "jclark", "odbl", "eclipse", "documentation", "expat", "artistic", "sil.org", "mariadb", "nationalarchives", "attribution",
+)
+GATE = r"[em]pl\s*-?v?[0-9]|mit[-/]|cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
 
 
 def phrase_regex(phrase: str) -> str:
@@ -32,27 +38,33 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD + "+")).cast("long")
 
 
-def base_places(text: Column) -> Column:
-    """For each phrase the number of places, and the words before the first and the last of them."""
+def gated(low: Column) -> Column:
+    """Whether a text in lower case may hold a rule's or a phrase's match."""
+    return reduce(or_, (F.contains(low, F.lit(w)) for w in WORDS)) | low.rlike(GATE)
+
+
+def base_places(text: Column, low: Column) -> Column:
+    """For each phrase the number of places, and the words before the first and the last of them. low: the text in lower case."""
 
     def one(phrase: str, label: str) -> Column:
+        there = reduce(and_, (F.contains(low, F.lit(w)) for w in phrase.split(" ")))
         parts = F.transform(F.split(text, phrase_regex(phrase), -1), words)
         n, long = F.size(parts).cast("long") - 1, len(phrase.split(" "))
         before_last = F.aggregate(F.slice(parts, 1, F.greatest(n, F.lit(1)).cast("int")), F.lit(0).cast("long"), lambda a, x: a + x)
-        return F.struct(F.lit(label).alias("label"), n.alias("n"), parts[0].alias("first"), (before_last + (n - 1) * long).alias("last"))
+        return F.when(there, F.struct(F.lit(label).alias("label"), n.alias("n"), parts[0].alias("first"), (before_last + (n - 1) * long).alias("last")))
 
     return F.filter(F.array(*(one(*x) for x in BASE)), lambda x: x["n"] > 0)
 
 
-def detections(docs: DataFrame, signatures: list[Rule] | None = None, key: str = "doc_id", text: str = "text", gated: bool = False) -> DataFrame:
+def detections(docs: DataFrame, signatures: list[Rule] | None = None, key: str = "doc_id", text: str = "text", passed: bool = False) -> DataFrame:
     """All matches that stand: key, rule_id, label, priority, confidence, start, end (code points, end exclusive).
 
     Rows that repeat a key share one set of matches. A null or empty text has none; columns besides key and text don't matter.
     """
     signatures = signatures or rules()
     table = F.from_json(F.lit(json.dumps([r._asdict() | {"pattern": f"(?i){r.pattern}"} for r in signatures])), "array<struct<rule_id:int,label:string,priority:int,keyword:string,pattern:string,confidence:double>>")
-    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
-    tried = (rows if gated else rows.filter(F.col("t").rlike(GATE))).withColumn("low", F.lower("t")).select("k", "t", F.explode(F.filter(table, lambda r: F.contains(F.col("low"), r["keyword"]))).alias("r"))
+    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).withColumn("low", F.lower("t"))
+    tried = (rows if passed else rows.filter(gated(F.col("low")))).select("k", "t", F.explode(F.filter(table, lambda r: F.contains(F.col("low"), r["keyword"]))).alias("r"))
     hits = tried.select("k", "r.*", F.transform(F.regexp_extract_all("t", F.col("r.pattern"), F.lit(0)), F.length).alias("long"), F.split("t", F.col("r.pattern"), -1).alias("parts")).filter(F.size("long") > 0)
     # start of a match: all that stands before it, parts and matches, summed in the order of the text
     pieces = F.transform(F.col("long"), lambda n, i: F.struct(F.length(F.get(F.col("parts"), i)).alias("before"), n.alias("n")))
@@ -75,10 +87,11 @@ def scan(docs: DataFrame, signatures: list[Rule] | None = None, key: str = "doc_
     An empty table gives no rows; other columns are ignored, whatever their names.
     """
     t = F.col("t")
-    one_pass = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).select("k", words(t).alias("n_words"), F.when(t.rlike(GATE), t).alias("t"))
+    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).select("k", "t", F.lower(t).alias("low"))
+    one_pass = rows.select("k", words(t).alias("n_words"), F.when(gated(F.col("low")), t).alias("t"))
     held = cut(one_pass, "licences")  # the texts that pass the gate, and every text's words
-    found = held.select("k", "n_words", F.when(t.isNotNull(), base_places(t)).alias("base"))
-    own = detections(held.filter(t.isNotNull()), signatures, "k", "t", gated=True).groupBy(F.col("k").alias("k2")).agg(F.collect_set("label").alias("own"), F.max("confidence").alias("sure"))
+    found = held.select("k", "n_words", "t", F.lower(t).alias("low")).select("k", "n_words", F.when(t.isNotNull(), base_places(t, F.col("low"))).alias("base"))
+    own = detections(held.filter(t.isNotNull()), signatures, "k", "t", passed=True).groupBy(F.col("k").alias("k2")).agg(F.collect_set("label").alias("own"), F.max("confidence").alias("sure"))
     both = found.join(own, F.col("k").eqNullSafe(F.col("k2")), "left")
     base = F.coalesce(F.col("base"), F.expr("array()").cast("array<struct<label:string,n:bigint,first:bigint,last:bigint>>"))
     some = F.size(base) > 0
