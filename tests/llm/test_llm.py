@@ -87,6 +87,48 @@ def test_license_containment(spark):
         assert text[r.start : r.end].lower().startswith(("apache", "spdx"))
 
 
+def sample(pattern, turn):
+    """A text that the pattern matches: of each choice the turn-th option, and what is optional on even turns."""
+    from re import _constants as c
+    from re import _parser
+
+    def one(x):
+        out = ""
+        for op, a in x:
+            if op is c.LITERAL:
+                out += chr(a)
+            elif op is c.IN:
+                kind, v = a[turn % len(a)]
+                out += chr(v) if kind is c.LITERAL else chr(v[0]) if kind is c.RANGE else " " if v is c.CATEGORY_SPACE else "w"
+            elif op is c.ANY:
+                out += "x"
+            elif op is c.BRANCH:
+                out += one(a[1][turn % len(a[1])])
+            elif op is c.SUBPATTERN:
+                out += one(a[3])
+            elif op is c.MAX_REPEAT:
+                out += one(a[2]) * (a[0] or turn % 2 ^ 1)
+            else:
+                assert op in (c.AT, c.ASSERT_NOT)
+        return out
+
+    return one(_parser.parse(pattern))
+
+
+def test_license_rules_fire_alone(spark):
+    rules = license_scan.rules()
+    texts = [(r, sample(r.pattern, turn)) for r in rules for turn in range(4)]
+    assert all(re.search(f"(?i){r.pattern}", t) for r, t in texts)
+    found = license_scan.detections(table(spark, [t for _, t in texts])).toPandas()
+    fired = found.groupby("doc_id").rule_id.agg(set).to_dict()
+    # where another rule's match holds the rule's own and is no less in priority, that one stands
+    outdone = [i for i, (r, t) in enumerate(texts) if any(q.priority >= r.priority and q != r and (m := re.search(f"(?i){q.pattern}", t)) and m[0] == t for q in rules)]
+    assert [(r.label, t) for i, (r, t) in enumerate(texts) if r.rule_id not in fired.get(i, ()) and (i not in outdone or not fired.get(i))] == []
+    assert len(outdone) < len(texts) / 10
+    names = "Licensed under Creative Commons Attribution 4.0 International", "docs.python.org/3/license", "oss.oracle.com/licenses/upl", "mariadb.com/bsl11", "Opensource.org/LICENSES/cddl-1", "ODC-By"
+    assert list(got(license_scan.scan(table(spark, names))).loc[range(6)].labels) == ["cc-by-4.0", "psf-2.0", "upl-1.0", "busl-1.1", "cddl-1.0", "odc-by-1.0"]
+
+
 def test_line_dedup_brute_force(spark):
     a, b = "this line has more than ten words in it so it counts alone", "short one"
     texts = [f"{a}\n{b}", f"x\n{a}", f"{b}\n{b}\nfive words in this line", f"{b}\n\nfive words in this line\nhere are yet five more", "five words in this line\nhere are yet five more\ntail", f"{a}\n{a}"]
