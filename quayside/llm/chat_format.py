@@ -25,7 +25,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 class Mapping(NamedTuple):
     """turns: (role, path) in order, for layouts with a field for each turn. messages: path of an array of structs, the field
-    names of role and text, and how its roles are renamed."""
+    names of role and text, and how its roles are renamed. order: an optional field of these structs that sorts them, nulls last."""
 
     name: str
     required: tuple[str, ...]
@@ -39,7 +39,7 @@ class Mapping(NamedTuple):
 SHARE = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 REGISTRY = (
     Mapping("messages", ("messages[].content", "messages[].role"), messages=("messages", "role", "content")),
-    Mapping("turn_rows", ("rows[].role", "rows[].text", "rows[].turn"), messages=("rows", "role", "text"), order="turn"),
+    Mapping("turn_rows", ("rows[].role", "rows[].text"), ("rows[].turn",), messages=("rows", "role", "text"), order="turn"),
     Mapping("share", ("conversations[].from", "conversations[].value"), messages=("conversations", "from", "value"), rename=SHARE),
     Mapping("dialog", ("dialog[].speaker", "dialog[].utterance"), messages=("dialog", "speaker", "utterance"), rename=SHARE),
     Mapping("instruction", ("instruction", "output"), ("input", "system"), (("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
@@ -99,8 +99,8 @@ def _turns(m: Mapping, there: set[str]) -> Column:
     if m.messages:
         top, role, text = m.messages
         rows = F.col(f"`{top}`")
-        if m.order:
-            rows = F.array_sort(F.transform(rows, lambda x: F.struct(x[m.order].alias("o"), x[role].alias(role), x[text].alias(text))))
+        if m.order and f"{top}[].{m.order}" in there:
+            rows = F.array_sort(F.transform(rows, lambda x: F.struct(x[m.order].isNull().alias("last"), x[m.order].alias("o"), x[role].alias(role), x[text].alias(text))))
         new = dict(m.rename)
 
         def name(x: Column) -> Column:

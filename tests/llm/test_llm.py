@@ -157,6 +157,17 @@ def test_chat_sql(spark, duck):
     assert rows(queries.op3_chat_format(spark, SF).toPandas()) == rows(duck.sql(queries.OP3_SQL).df())
 
 
+def test_chat_null_turns(spark, duck, tmp_path):
+    given = [(1, None, "user", "q"), (1, None, "assistant", "a"), (2, None, "user", "z"), (2, 1, "assistant", "y"), (2, 0, "user", "x"), (3, None, None, None)]
+    spark.createDataFrame(given, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found, want = queries.op3_chat_format(spark, str(tmp_path)).toPandas(), duck.sql(f"WITH conversations AS (FROM '{tmp_path}/conversations.parquet/*.parquet') {queries.OP3_SQL.strip().replace('WITH given', ', given', 1)}").df()
+    assert list(found.set_index("conv_id").loc[[1, 2, 3]].n_turns) == [2, 3, 1]
+    assert rows(found) == rows(want)
+    unordered = spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")])], "id long, rows array<struct<role:string,text:string>>")
+    turns = chat_format.canonical(unordered, ["id"]).first()
+    assert turns.layout == "turn_rows" and [tuple(x) for x in turns.turns] == [("user", "q"), ("assistant", "a")]
+
+
 def test_chat_layouts(spark):
     data = [
         '{"id":1,"messages":[{"role":"user","content":"hi & <|im_end|>"},{"role":"assistant","content":"yo"}]}', '{"id":2,"instruction":"add","input":"1 2","output":"3"}', '{"id":3,"instruction":"say","output":"ok"}',
