@@ -1,10 +1,12 @@
 """Benchmark decontamination by templates: documents that hold an item, word for word or with other numbers, names or units.
 
-Words lose the signs around them and the case of A-Z; numbers, units after a number, and capitalised words inside a sentence
-become typed slots. Five words in a row are a window; windows with fewer than MIN_LITERAL plain words say nothing and don't
-count. Windows of documents and items are joined by their hashes. Of the windows that an alignment of a document with an item
-has in common (a place in the one less the place in the other), the slots must fill consistently: one value of the item stands
-for one value of the document. An item is held by a document if consistent alignments cover at least SIMILARITY of its windows.
+Words lose the signs around them. An item has two sets of windows, five words in a row, and a document holds it if it has at
+least SIMILARITY of the windows of either. Literal windows fold case and take every word as it stands; an item of fewer than
+five words is one window as a whole. In template windows numbers, units after a number, and capitalised words inside a sentence
+are typed slots, and windows with fewer than MIN_LITERAL plain words say nothing and don't count. Windows are joined by their
+hashes. Of the template windows that an alignment of a document with an item has in common (a place in the one less the place
+in the other), the slots must fill consistently: one value of the item stands for one value of the document, that of the most
+windows, and windows that hold another don't count.
 
 Before the join, documents' windows pass a Bloom filter of fixed size (2^23 bits, whatever the tables) over the items' windows,
 so few are shuffled; the join is exact. Items' windows are joined by shuffle or broadcast as Spark sees fit from their size.
@@ -13,12 +15,13 @@ so few are shuffled; the join is exact. Items' windows are joined by shuffle or
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.common import cut, slices, text_or_empty
@@ -36,10 +39,11 @@ PLAIN, NUM, UNIT, CAPITAL, BOTH, NOTHING = range(6)
 SLOT_HASH = {NUM: 0xA5A5A5A501, UNIT: 0xA5A5A5A502, CAPITAL: 0xA5A5A5A503}
 ODD = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(64)], np.uint64)
 REMEMBERED = 500_000
+TEMPLATE, LITERAL = range(2)
 
 
 class Canon:
-    """What each distinct word is, found once: its kind, the hash of its plain form, and whether a sentence ends with it."""
+    """What each distinct word is, found once: its kind, the hashes of its plain and its case-folded form, and whether a sentence ends with it."""
 
     def __init__(self) -> None:
         self.forget()
@@ -47,10 +51,10 @@ class Canon:
     def forget(self) -> None:
         self.place: dict[bytes, int] = {}
         self.words: list[bytes] = []
-        self.kind, self.hash, self.stops = np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.kind, self.hash, self.fold, self.stops = np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
 
     def learn(self, words: list[bytes]) -> None:
-        kinds, hashes, stops = [], [], []
+        kinds, hashes, folds, stops = [], [], [], []
         for w in words:
             core = w.strip(SIGNS)
             low = core.lower()
@@ -66,14 +70,17 @@ class Canon:
                 kind = CAPITAL if core[:1] != low[:1] and core[1:] == low[1:] and len(core) > 1 else PLAIN
             kinds.append(kind)
             hashes.append(xxhash.xxh3_64_intdigest(low))
+            folds.append(hashes[-1] if low.isascii() else xxhash.xxh3_64_intdigest(core.decode(errors="replace").casefold().encode()))
             stops.append(w[-1:] in b".!?:")
         self.words += words
         self.kind = np.concatenate([self.kind, np.array(kinds, np.uint8)])
         self.hash = np.concatenate([self.hash, np.array(hashes, np.uint64)])
+        self.fold = np.concatenate([self.fold, np.array(folds, np.uint64)])
         self.stops = np.concatenate([self.stops, np.array(stops, bool)])
 
-    def tokens(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text: places of its words here, kinds (PLAIN or a slot's) and hashes; words of signs alone are left out."""
+    def tokens(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text: places of its words here, kinds (PLAIN or a slot's) and hashes, and the hashes of its folded words, a number
+        and its unit in one; words of signs alone are left out."""
         if len(self.place) > REMEMBERED:
             self.forget()
         lists = [t.replace(b"\n", b" |. ").split() for t in texts]  # signs alone that end a sentence, as a line does
@@ -85,7 +92,7 @@ class Canon:
             kind, stops = self.kind[at], self.stops[at]
             begins = np.concatenate([[True], stops[:-1]]) if len(at) else stops
             at, begins = at[kind != NOTHING], begins[kind != NOTHING]
-            kind = self.kind[at].copy()
+            kind, fold = self.kind[at].copy(), self.fold[at]
             twice = np.where(kind == BOTH, 2, 1)
             second = np.cumsum(twice)[kind == BOTH] - 1
             at, begins, kind = np.repeat(at, twice), np.repeat(begins, twice), np.repeat(kind, twice)
@@ -97,7 +104,7 @@ class Canon:
             h = self.hash[at]
             for k, x in SLOT_HASH.items():
                 h[kind == k] = x
-            yield at, kind, h
+            yield at, kind, h, fold
 
     def value(self, place: int, kind: int) -> str:
         core = self.words[place].strip(SIGNS)
@@ -106,19 +113,18 @@ class Canon:
         return core.lower().decode()
 
 
-def windows(kind: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the windows that count, and their hashes."""
-    n = len(h) - WORDS + 1
+def windows(h: np.ndarray, of: np.ndarray, size: int, way: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows of `size` words that lie in one text, and their hashes. of: the text of each word."""
+    n = len(h) - size + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    x = np.zeros(n, np.uint64)
-    plain = np.concatenate([[0], np.cumsum(kind == PLAIN)])
+    x = np.full(n, ODD[8 + size] if way == LITERAL else 0, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(WORDS):
+        for i in range(size):
             x += (h[i : n + i] ^ (h[i : n + i] >> np.uint64(29))) * ODD[i]
         x ^= x >> np.uint64(32)
         x *= ODD[7]
-    at = np.flatnonzero(plain[WORDS:] - plain[:n] >= MIN_LITERAL)
+    at = np.flatnonzero(of[:n] == of[size - 1 :])
     return at, x[at]
 
 
@@ -126,34 +132,69 @@ def bloom_place(h: np.ndarray, shift: int) -> np.ndarray:
     return ((h >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
 
 
-def windows_of(rows: DataFrame, key: str, text: str, bloom=None) -> DataFrame:
-    """k, at, h, slots (the values in a window's slots, in order), total (how many windows the text has)."""
+def row_id(text: str) -> Column:
+    """With the key, what tells rows apart: those with the same key and text hold the same items."""
+    return F.xxhash64(text_or_empty(text))
+
+
+def windows_of(rows: DataFrame, key: str, text: str, bloom=None, sizes: tuple[int, ...] = ()) -> DataFrame:
+    """k, row, way, size, at, h, slots (the values in a template window's slots, in order), total (how many windows the text has).
+
+    Items (no filter): literal windows of WORDS words, or of the whole text if that is shorter. Documents: literal windows of the
+    given sizes. Windows without slots come once for a document's text, however often they stand there.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         bits = None if bloom is None else bloom.value
         for b in slices(batches, "t"):
             texts = b.column("t").cast(pa.binary()).to_pylist()
-            rows, ats, hs, slots, totals = [], [], [], [], []
-            for i, (place, kind, h) in enumerate(canon.tokens(texts)):
-                at, x = windows(kind, h)
-                total = len(at)
+            found = list(canon.tokens(texts))
+            place, kind, hashes, fold = (np.concatenate(x) for x in zip(*found))
+            plain = np.concatenate([[0], np.cumsum(kind == PLAIN)])
+            for way, size in [(TEMPLATE, WORDS), *((LITERAL, n) for n in (sizes if bits is not None else range(1, WORDS + 1)))]:
+                long = np.array([len(f[0] if way == TEMPLATE else f[3]) for f in found])
+                of, first = np.repeat(np.arange(len(found)), long), np.cumsum(long) - long
+                at, x = windows(hashes if way == TEMPLATE else fold, of, size, way)
+                if way == TEMPLATE:
+                    keep = plain[at + WORDS] - plain[at] >= MIN_LITERAL
+                    at, x = at[keep], x[keep]
+                elif bits is None:
+                    keep = np.minimum(long, WORDS)[of[at]] == size
+                    at, x = at[keep], x[keep]
+                total = np.bincount(of[at], minlength=len(found))
                 if bits is not None:
                     for shift in BLOOM_SHIFTS:
                         keep = bits[bloom_place(x, shift)]
                         at, x = at[keep], x[keep]
-                rows += [i] * len(at)
-                ats.append(at)
-                hs.append(x)
-                totals += [total] * len(at)
-                for a in at.tolist():
-                    ks = kind[a : a + WORDS]
-                    slots.append([canon.value(int(place[a + j]), int(ks[j])) for j in np.flatnonzero(ks != PLAIN).tolist()])
-            if rows:
-                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(rows)), pa.array(np.concatenate(ats)), pa.array(np.concatenate(hs).view(np.int64)), pa.array(slots, pa.list_(pa.string())), pa.array(totals, pa.int64())], ["k", "at", "h", "slots", "total"])
+                    free = np.ones(len(at), bool) if way == LITERAL else plain[at + WORDS] - plain[at] == WORDS
+                    same = pa.table({"of": of[at][free], "x": x[free], "i": np.flatnonzero(free)}).group_by(["of", "x"]).aggregate([("i", "min")])
+                    keep = ~free
+                    keep[same.column("i_min").to_numpy()] = True
+                    at, x = at[keep], x[keep]
+                if not len(at):
+                    continue
+                slots = [[]] * len(at)
+                if way == TEMPLATE:
+                    slots = [[canon.value(int(place[i + j]), int(kind[i + j])) for j in np.flatnonzero(kind[i : i + WORDS] != PLAIN).tolist()] for i in at.tolist()]
+                i = pa.array(of[at])
+                n = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("k").take(i), b.column("row").take(i), pa.array(np.full(n, way, np.int32)), pa.array(np.full(n, size, np.int32)), pa.array(at - first[of[at]]), pa.array(x.view(np.int64)), pa.array(slots, pa.list_(pa.string())), pa.array(total[of[at]])],
+                    ["k", "row", "way", "size", "at", "h", "slots", "total"],
+                )
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(task, f"k {kind}, at long, h long, slots array<string>, total long")
+    return rows.select(F.col(key).alias("k"), row_id(text).alias("row"), text_or_empty(text).alias("t")).mapInArrow(task, f"k {kind}, row long, way int, size int, at long, h long, slots array<string>, total long")
+
+
+def consistent(windows: list) -> list[int]:
+    """Of an alignment's windows (item_at, filled: values of the item with those of the document) the places of those that agree."""
+    votes = Counter(pair for w in windows for pair in {tuple(p) for p in w["filled"]})
+    stands: dict[str, str] = {}
+    for a, b in sorted(votes, key=lambda p: (-votes[p], p)):
+        stands.setdefault(a, b)
+    return [w["item_at"] for w in windows if all(stands[a] == b for a, b in w["filled"])]
 
 
 def filter_bits(items: DataFrame):
@@ -174,29 +215,33 @@ def filter_bits(items: DataFrame):
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """key, item, share: the items that a document holds and the share of their windows that it has.
+    """key, row (row_id of its text), item, share: the items that a row's text holds and the share of their windows that it has.
 
-    Null and empty texts, and those of fewer than five words, hold nothing and are held by none; an empty table gives no rows.
-    Rows that repeat a key are taken together. Repeated items each match. Other columns are ignored.
+    Null and empty texts, and those of signs alone, hold nothing and are held by none; an empty table gives no rows. Rows that
+    repeat a key are judged each by its own text, of documents as of items. Other columns are ignored.
     """
-    items = cut(windows_of(benchmark, item, item_text), "items").select(F.col("k").alias("item"), F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"), "total")
-    own = windows_of(docs, key, text, filter_bits(items)).select(F.col("k").alias("doc"), "at", "h", "slots")
-    both = own.join(items, "h").select("doc", "item", "item_at", "total", (F.col("at") - F.col("item_at")).alias("shift"), F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.concat_ws("\0", x["item_slots"], x["slots"])).alias("filled"), F.size("slots").alias("n"), F.size("item_slots").alias("item_n"))
-    aligned = both.filter("n = item_n").groupBy("doc", "item", "shift").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"), F.max("total").alias("total"))
-    firsts = F.array_distinct(F.transform("filled", lambda x: F.substring_index(x, "\0", 1)))
-    consistent = aligned.filter(F.size(firsts) == F.size("filled"))
-    held = consistent.groupBy("doc", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n"), F.max("total").alias("total"))
-    return held.select(F.col("doc").alias(key), F.col("item"), (F.col("n") / F.col("total")).alias("share")).filter(F.col("share") >= similarity)
+    items = cut(windows_of(benchmark, item, item_text), "items").select(F.struct("k", "row").alias("item"), "way", "size", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"), "total")
+    sizes = tuple(sorted(r["size"] for r in items.filter(F.col("way") == LITERAL).select("size").distinct().collect()))  # at most WORDS
+    own = windows_of(docs, key, text, filter_bits(items), sizes).select(F.struct("k", "row").alias("doc"), "way", "size", "at", "h", "slots")
+    shift = F.when(F.size("slots") > 0, F.col("at") - F.col("item_at"))  # null: no slots, so any place will do
+    filled = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b")))
+    both = own.join(items, ["h", "way", "size"]).filter(F.size("slots") == F.size("item_slots")).select("doc", "item", "way", "total", shift.alias("shift"), F.struct("item_at", filled.alias("filled")).alias("w"))
+    aligned = both.groupBy("doc", "item", "way", "shift").agg(F.collect_set("w").alias("ws"), F.max("total").alias("total"))
+    agreed = aligned.select("doc", "item", "way", "total", F.udf(consistent, "array<bigint>")("ws").alias("ats"))
+    held = agreed.groupBy("doc", "item", "way").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n"), F.max("total").alias("total"))
+    shares = held.select("doc", "item", (F.col("n") / F.col("total")).alias("share")).filter(F.col("share") >= similarity)
+    best = shares.groupBy("doc", "item").agg(F.max("share").alias("share"))
+    return best.select(F.col("doc.k").alias(key), F.col("doc.row").alias("row"), F.col("item.k").alias("item"), "share")
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """A row for each row of docs: key, contaminated, n_items, item_ids (sorted, comma-joined), share (the greatest, else 0)."""
-    found = matches(docs, benchmark, key, text, item, item_text, similarity).groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("share").alias("share"))
-    both = docs.select(key).join(found, F.col(key).eqNullSafe(F.col("_k")), "left")
+    found = matches(docs, benchmark, key, text, item, item_text, similarity).groupBy(F.col(key).alias("_k"), F.col("row").alias("_r")).agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("share").alias("share"))
+    both = docs.select(key, row_id(text).alias("_row")).join(found, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left")
     return both.select(key, F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("item_ids"), F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that hold no item, all columns."""
-    found = matches(docs, benchmark, key, text, item, item_text, similarity).select(F.col(key).alias("_k")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(found["_k"]), "left_anti")
+    found = matches(docs, benchmark, key, text, item, item_text, similarity).select(F.col(key).alias("_k"), F.col("row").alias("_r")).distinct()
+    return docs.join(found, docs[key].eqNullSafe(found["_k"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == found["_r"]), "left_anti")

@@ -263,6 +263,16 @@ def test_decontaminate_slots_must_agree(spark):
     assert found.loc[0].contaminated and not found.loc[1].contaminated
 
 
+def test_decontaminate_copies_word_for_word(spark):
+    items = ["3 + 4 = 7 , 12 + 9 = 21 , 5 + 8 = 13", "Who wrote Faust?", "ask Anna and Bob or Carl and Dora at the lake in Rome or Oslo", "on day 3 he ran 3 miles and on day 5 he swam with 3 friends across the wide blue lake and then he went to bed early that same evening at home"]
+    texts = [f"see {items[0]} there", "so who wrote faust then", f"x {items[2].lower()} y", items[2].upper(), items[3].replace("day 5", "day 6").replace("with 3", "with 4"), "who then wrote some of it", "3 + 4 = 7 and 5 + 8 = 13"]
+    docs = table(spark, texts).unionByName(table(spark, ["who wrote something else"], 1))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.marked(docs, bench).toPandas()
+    assert sorted(zip(found.doc_id, found.item_ids)) == [(0, "0"), (1, ""), (1, "1"), (2, "2"), (3, "2"), (4, "3"), (5, ""), (6, "")]
+    assert sorted(r.text for r in decontaminate.clean(docs, bench).collect()) == ["3 + 4 = 7 and 5 + 8 = 13", "who then wrote some of it", "who wrote something else"]
+
+
 def test_token_frames(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
