@@ -33,7 +33,11 @@ from quayside.llm.common import slices, text_or_empty
 
 SPACE = "▁"
 SAMPLES, THETA, SEED = 2, 0.0005, 11
+#: Bytes of text sampled at once, and characters of distinct words whose lattice is built at once: they bound a task's memory
+#: (a longer text is sampled alone; beyond a block only its edges, at 24 bytes each, and its samples stay).
+TEXT_BYTES, BLOCK = 3 << 19, 1 << 18
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
+NONE = np.zeros(0, np.int64)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,9 +65,14 @@ class Pieces:
         keys = np.array([(a << 21) | c for a, c in states], np.int64)
         order = np.argsort(keys)
         self.keys, self.to = keys[order], np.array(list(states.values()), np.int64)[order]
+        self.begin = np.zeros(0x110000, np.int64)  # the first step, by character; 0: none
+        for (a, c), b in states.items():
+            if not a:
+                self.begin[c] = b
         self.piece = np.full(len(states) + 1, -1, np.int64)
         self.piece[list(ends)] = list(ends.values())
         self.scores, self.byte_ids, self.names = np.array(scores), np.array(byte_ids, np.uint32), pieces
+        self.weights = np.append(self.scores, 0.0)  # a character in bytes has the score 0
         data = [p.replace(SPACE, " ").encode() for p in pieces]
         for b, i in enumerate(byte_ids):
             data[i] = bytes([b])
@@ -105,37 +114,70 @@ class Lattice(NamedTuple):
 
 
 def lattice(words: list[str], pieces: Pieces, theta: float) -> Lattice:
+    """The lattices of words, built a block at a time."""
+    parts, lo, held = [], 0, 0
+    for i, w in enumerate(words):
+        if held and held + len(w) > BLOCK:
+            parts.append(lattice_block(words[lo:i], pieces, theta))
+            lo, held = i, 0
+        held += len(w)
+    parts.append(lattice_block(words[lo:], pieces, theta))
+    if len(parts) == 1:
+        return parts[0]
+    nodes = np.cumsum([0, *(len(x.last) for x in parts)])
+    edges = np.cumsum([0, *(len(x.end) for x in parts)])
+    odd = np.cumsum([0, *(len(x.chars) for x in parts)])
+    n = len(pieces.scores)
+    return Lattice(
+        np.concatenate([x.base + a for x, a in zip(parts, nodes)]),
+        np.concatenate([x.last for x in parts]),
+        np.concatenate([*(x.first[:-1] + a for x, a in zip(parts, edges)), edges[-1:]]),
+        np.concatenate([x.draw for x in parts]),
+        np.concatenate([x.end + np.int32(a) for x, a in zip(parts, nodes)]),
+        np.concatenate([x.logp for x in parts]),
+        np.concatenate([np.where(x.piece < n, x.piece, x.piece + np.int32(a)) for x, a in zip(parts, odd)]),
+        [c for x in parts for c in x.chars],
+    )
+
+
+def lattice_block(words: list[str], pieces: Pieces, theta: float) -> Lattice:
     sizes = np.array([len(w) for w in words], np.int64)
     base = np.cumsum(sizes + 1) - (sizes + 1)
     n = int((sizes + 1).sum())
     code = np.full(n, -1, np.int64)  # a character at each node but the last ones
     inside = np.ones(n, bool)
     inside[base + sizes] = False
-    code[inside] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+    code[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
     last = ~inside
     left = np.repeat(base + sizes, sizes + 1) - np.arange(n)
-    at, state, starts, ends, ids = np.flatnonzero(inside), np.zeros(int(inside.sum()), np.int64), [], [], []
+    at, starts, ends, ids = np.flatnonzero(inside), [], [], []
+    state = np.zeros(len(at), np.int64)
     single = np.zeros(n, bool)
     step = 0
     while len(at):
         char = code[at + step]
-        key = (state << 21) | char
-        i = np.minimum(np.searchsorted(pieces.keys, key), len(pieces.keys) - 1)
-        ok = (pieces.keys[i] == key) & (char >= 0)
-        at, state = at[ok], pieces.to[i[ok]]
+        if step:
+            key = (state << 21) | char
+            i = np.minimum(np.searchsorted(pieces.keys, key), len(pieces.keys) - 1)
+            ok = pieces.keys[i] == key
+            at, state = at[ok], pieces.to[i[ok]]
+        else:
+            state = pieces.begin[char]
+            at, state = at[state > 0], state[state > 0]
         step += 1
-        whole = pieces.piece[state] >= 0
+        piece = pieces.piece[state]
+        whole = piece >= 0
         starts.append(at[whole])
-        ends.append(at[whole] + step)
-        ids.append(pieces.piece[state[whole]])
+        ends.append(starts[-1] + step)
+        ids.append(piece[whole])
         if step == 1:
-            single[at[whole]] = True
+            single[starts[-1]] = True
         more = left[at] > step
         at, state = at[more], state[more]
     odd = np.flatnonzero(inside & ~single)  # characters without a piece go as bytes
     kinds, which = np.unique(code[odd], return_inverse=True)
     chars = [pieces.byte_ids[np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8)] for c in kinds.tolist()]
-    starts, ends, ids = [*starts, odd], [*ends, odd + 1], [*ids, which + len(pieces.scores)]
+    starts, ends, ids = [*starts, odd], [*ends, odd + 1], [*ids, (which + len(pieces.scores))]
     first = np.zeros(n + 1, np.int64)
     np.cumsum(sum(np.bincount(s, minlength=n) for s in starts), out=first[1:])
     start, end, piece = (np.empty(first[-1], np.int64) for _ in range(3))
@@ -144,7 +186,7 @@ def lattice(words: list[str], pieces: Pieces, theta: float) -> Lattice:
         to = free[s]
         start[to], end[to], piece[to] = s, e, i
         free[s] += 1
-    weight = theta * np.where(piece < len(pieces.scores), pieces.scores[np.minimum(piece, len(pieces.scores) - 1)], 0.0)
+    weight = theta * pieces.weights[np.minimum(piece, len(pieces.scores))]
     # backward sums: nodes by how many characters are left
     beta = np.zeros(n)
     longest = int(sizes.max(initial=0))
@@ -161,13 +203,12 @@ def lattice(words: list[str], pieces: Pieces, theta: float) -> Lattice:
             count = np.diff(np.append(head, len(e)))
             beta[node[head]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), head))
     logp = np.minimum(weight + beta[end] - beta[start], 0.0)
-    p = np.exp(logp)
-    draw, rank = p.copy(), np.arange(len(p)) - first[start]
+    draw, rank = np.exp(logp), np.arange(len(logp)) - first[start]
     for r in range(1, int(rank.max(initial=0)) + 1):
         e = np.flatnonzero(rank == r)
         draw[e] += draw[e - 1]
     draw[first[1:][first[1:] > first[:-1]] - 1] = 1.0
-    return Lattice(base, last, first, draw, end, logp, piece, chars)
+    return Lattice(base, last, first, draw, end.astype(np.int32), logp, piece.astype(np.int32), chars)
 
 
 def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
@@ -209,7 +250,8 @@ def drawn(lat: Lattice, node: np.ndarray, seed: np.ndarray, place: np.ndarray, s
             e[low] += 1
             low = low[lat.draw[e[low]] <= u[low]]
         out.append((who, e, node, place))
-        place, node = place + (lat.end[e] - node), lat.end[e]
+        end = lat.end[e].astype(np.int64)
+        place, node = place + (end - node), end
         go = ~lat.last[node]
         who, node, place = who[go], node[go], place[go]
     if not out:
@@ -217,6 +259,7 @@ def drawn(lat: Lattice, node: np.ndarray, seed: np.ndarray, place: np.ndarray, s
     steps = sum(np.bincount(x[0], minlength=n) for x in out)
     first, done = np.cumsum(steps) - steps, [np.empty(int(steps.sum()), np.int64) for _ in range(4)]
     for i, parts in enumerate(out):  # each path's i-th edge
+        out[i] = ()
         to = first[parts[0]] + i
         for all_, part in zip(done, parts):
             all_[to] = part
@@ -259,27 +302,32 @@ def sampled(texts: list[str], keys: list[str], pieces: Pieces, k: int, theta: fl
         offset = np.cumsum([0, *map(len, nodes)])
         one, edges, at, spot = drawn(lat, np.concatenate(nodes), seeds[text_of][owner], np.concatenate(places), s)
         cuts = np.searchsorted(one, offset)
+        logp = lat.logp[edges]
+        before = np.empty(len(edges))  # the log probability of what a path has before each edge
+        tops = np.empty(len(live))
         for j, (i, parent, step, edge, top) in enumerate(live):
+            lo, hi = cuts[j], cuts[j + 1]
+            if hi > lo:
+                before[lo] = found[i][parent].logp[:step].sum() + lat.logp[edge] if parent >= 0 else 0.0
+                before[lo + 1 : hi] = before[lo] + np.cumsum(logp[lo : hi - 1])
+            tops[j] = top if parent >= 0 else -np.log(-np.log(uniform(seeds[i : i + 1], np.array([1 << 62]))[0]))
+        size = np.diff(cuts)
+        with np.errstate(divide="ignore"):
+            loc = before + np.log(np.maximum(-np.expm1(logp), 0.0))
+        loc[lat.first[at + 1] - lat.first[at] == 1] = -np.inf
+        fresh = truncated(loc, np.repeat(tops, size), uniform(np.repeat(seeds[text_of], size), spot * 2 + 1 + (s << 40)))
+        for j, (i, parent, step, edge, _) in enumerate(live):
             part = slice(cuts[j], cuts[j + 1])
-            e, node, where, w = edges[part], at[part], spot[part], one[part] - offset[j] + heads[j]
-            if parent >= 0:
-                p = found[i][parent]
-                e, node = np.concatenate([p.edge[:step], [edge], e]), np.concatenate([p.node[:step], [p.node[step]], node])
-                where, w = np.concatenate([p.place[: step + 1], where]), np.concatenate([p.word[: step + 1], w])
-            path = Path(e, node, w, where, lat.logp[e])
+            path = [edges[part], at[part], one[part] - offset[j] + heads[j], spot[part], logp[part]]  # views of all paths' arrays
             if parent < 0:
-                top = float(-np.log(-np.log(uniform(seeds[i : i + 1], np.array([1 << 62]))))[0])
-            before = np.concatenate([[0.0], np.cumsum(path.logp)[:-1]]) if len(e) else np.zeros(0)
-            with np.errstate(divide="ignore"):
-                loc = before + np.log(np.maximum(-np.expm1(path.logp), 0.0))
-            alone = lat.first[node + 1] - lat.first[node] == 1
-            loc[alone] = -np.inf
-            fresh = truncated(loc, top, uniform(seeds[i], where * 2 + 1 + (s << 40)))
-            if parent >= 0:
-                fresh[: step + 1] = -np.inf  # those sets left the parent already, or do below
-            found[i].append(path)
-            perturbed[i].append(top)
-            open_sets[i].append(fresh)
+                open_sets[i].append(fresh[part])
+            else:  # the sets before left the parent already, or do below
+                p = found[i][parent]
+                new = (np.array([x]) for x in (edge, p.node[step], p.word[step], p.place[step], lat.logp[edge]))
+                path = [np.concatenate([x[:step], y, z]) for x, y, z in zip(p, new, path)]
+                open_sets[i].append(np.concatenate([np.full(step + 1, -np.inf), fresh[part]]))
+            found[i].append(Path(*path) if s + 1 < k else Path(path[0], NONE, NONE, NONE, path[4]))  # nothing leaves the last
+            perturbed[i].append(float(tops[j]))
             starts[i] = None
         if s + 1 < k:
             for i in range(len(texts)):
@@ -309,7 +357,7 @@ def leave(i: int, s: int, lat: Lattice, paths: list[Path], sets: list[np.ndarray
     out = barred.setdefault((parent, step), [int(p.edge[step])])
     edges = np.array([e for e in range(lat.first[node], lat.first[node + 1]) if e not in out])
     weight = np.exp(lat.logp[edges])
-    counter = np.array([int(p.place[step])])
+    counter = np.array([int(p.place[step])], np.int64)
     cum = np.cumsum(weight)
     edge = int(edges[min(np.searchsorted(cum, float(uniform(seed, counter * 2 + (s + 1 << 40) + (1 << 61))[0]) * cum[-1], side="right"), len(edges) - 1)])
     out.append(edge)
@@ -344,7 +392,7 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SA
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", TEXT_BYTES):
             texts = b.column("t").to_pylist()
             rows = sampled(texts, b.column("s").to_pylist(), pieces, k, theta, seed)
             own = [i for i, x in enumerate(rows) for _ in x]
