@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quayside.llm.common import unused
+
 TURNS = "array<struct<role:string,text:string>>"
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -122,13 +124,14 @@ def canonical(records: DataFrame, keys: list[str], registry: Iterable[Mapping] =
     names = [c for c in records.columns if c not in keys]
     there = set(paths(records.schema, names))
     usable = {k: m for k, m in known(registry).items() if set(m.required) <= there}
-    marked = records.withColumn("_print", fingerprint(records.schema, names))
+    mark = unused(records, "print")[0]
+    marked = records.withColumn(mark, fingerprint(records.schema, names))
     by: dict[Mapping, list[str]] = {}
     for k, m in usable.items():
         by.setdefault(m, []).append(k)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m, prints in by.items():
-        fits = F.col("_print").isin(prints)
+        fits = F.col(mark).isin(prints)
         layout, turns = F.when(fits, m.name).otherwise(layout), F.when(fits, _turns(m, there)).otherwise(turns)
     return marked.select(*keys, layout.alias("layout"), turns.alias("turns"))
 

@@ -20,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quayside-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,6 +41,35 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and nothing reads any more."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            remove(spark, path)
+
+
+def joined_hot(rows: DataFrame, classes: DataFrame, keys: list[str], times: str, most: int) -> DataFrame:
+    """rows joined with classes, one row for each key with how often rows has it (`times`); both are read twice.
+
+    Classes with more than 1/1000 of all `most` rows are fewer than 1000, so those are broadcast: their rows stay where they are,
+    and no hot key lands in one task. The others are joined by shuffle.
+    """
+    limit = max(most // 1000, 1)
+    hot, rest = classes.filter(F.col(times) > limit), classes.filter(F.col(times) <= limit)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores behind it as long as a column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

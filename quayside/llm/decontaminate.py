@@ -4,12 +4,15 @@ Words lose the signs around them. An item has two sets of windows, five words in
 least SIMILARITY of the windows of either. Literal windows fold case and take every word as it stands; an item of fewer than
 five words is one window as a whole. In template windows numbers, units after a number, and capitalised words inside a sentence
 are typed slots, and windows with fewer than MIN_LITERAL plain words say nothing and don't count. Windows are joined by their
-hashes. Of the template windows that an alignment of a document with an item has in common (a place in the one less the place
-in the other), the slots must fill consistently: one value of the item stands for one value of the document, that of the most
-windows, and windows that hold another don't count.
+hashes. Template windows are aligned (a place in the document less the place in the item), the greatest alignments first; in
+each the slots must fill consistently: one value of the item stands for one value of the document, that of the most windows, and
+windows that hold another don't count. A window counts or not by the first alignment that has it.
 
 Before the join, documents' windows pass a Bloom filter of fixed size (2^23 bits, whatever the tables) over the items' windows,
-so few are shuffled; the join is exact. Items' windows are joined by shuffle or broadcast as Spark sees fit from their size.
+so few are shuffled; the joins are exact. A text has one row for each distinct window, with all its places, so repetitive texts
+don't multiply. A document that holds an item has at least one of any set of the item's windows that is larger than what may be
+missing; so pairs are found by the item's rarest windows alone, and only these pairs' windows are joined: windows in few items
+by their hash, those in more than COMMON items from the pairs.
 """
 
 from __future__ import annotations
@@ -21,12 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import cut, slices, text_or_empty
 
 WORDS, SIMILARITY, MIN_LITERAL = 5, 0.8, 3
+#: Windows of more items than this are joined from the pairs of the rarer ones; changes the plan only.
+COMMON = 8
+#: Pairs of places that alignments are counted from at once; a window with more is counted by convolution.
+PAIRS = 1 << 20
 BLOOM_BITS, BLOOM_SHIFTS = 1 << 23, (0, 20, 40)
 UNITS = frozenset(
     "kg g mg t lb lbs oz km m cm mm mi mile miles ft feet foot inch inches in yd l ml liter liters litre litres gal s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
@@ -106,11 +113,11 @@ class Canon:
                 h[kind == k] = x
             yield at, kind, h, fold
 
-    def value(self, place: int, kind: int) -> str:
+    def value(self, place: int, kind: int) -> bytes:
         core = self.words[place].strip(SIGNS)
         if (m := WITH_UNIT.fullmatch(core)) and m[2].lower() in UNITS and kind in (NUM, UNIT):
             core = m[1] if kind == NUM else m[2]
-        return core.lower().decode()
+        return core.lower()
 
 
 def windows(h: np.ndarray, of: np.ndarray, size: int, way: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +145,10 @@ def row_id(text: str) -> Column:
 
 
 def windows_of(rows: DataFrame, key: str, text: str, bloom=None, sizes: tuple[int, ...] = ()) -> DataFrame:
-    """k, row, way, size, at, h, slots (the values in a template window's slots, in order), total (how many windows the text has).
+    """k, row, way, size, h, places (where the window stands in the text), slots (for each place the values of its slots, joined by spaces), total (how many windows the text has).
 
     Items (no filter): literal windows of WORDS words, or of the whole text if that is shorter. Documents: literal windows of the
-    given sizes. Windows without slots come once for a document's text, however often they stand there.
+    given sizes. Windows without slots have their first place only in documents.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,34 +174,99 @@ def windows_of(rows: DataFrame, key: str, text: str, bloom=None, sizes: tuple[in
                     for shift in BLOOM_SHIFTS:
                         keep = bits[bloom_place(x, shift)]
                         at, x = at[keep], x[keep]
-                    free = np.ones(len(at), bool) if way == LITERAL else plain[at + WORDS] - plain[at] == WORDS
-                    same = pa.table({"of": of[at][free], "x": x[free], "i": np.flatnonzero(free)}).group_by(["of", "x"]).aggregate([("i", "min")])
-                    keep = ~free
-                    keep[same.column("i_min").to_numpy()] = True
-                    at, x = at[keep], x[keep]
                 if not len(at):
                     continue
-                slots = [[]] * len(at)
-                if way == TEMPLATE:
-                    slots = [[canon.value(int(place[i + j]), int(kind[i + j])) for j in np.flatnonzero(kind[i : i + WORDS] != PLAIN).tolist()] for i in at.tolist()]
-                i = pa.array(of[at])
-                n = len(at)
+                order = np.lexsort((x, of[at]))  # stable: a window's places ascend
+                at, x = at[order], x[order]
+                head = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (of[at[1:]] != of[at[:-1]])]))
+                times = np.diff(np.append(head, len(at)))
+                free = np.ones(len(head), bool) if way == LITERAL else plain[at[head] + WORDS] - plain[at[head]] == WORDS
+                if bits is not None:  # without slots one place is enough
+                    keep = np.repeat(~free, times)
+                    keep[head] = True
+                    at = at[keep]
+                    times = np.where(free, 1, times)
+                    x, own = x[head], of[at[np.cumsum(times) - times]]
+                else:
+                    x, own = x[head], of[at[head]]
+                slotted = np.repeat(~free, times).tolist()
+                slots = [b" ".join(canon.value(int(place[i + j]), int(kind[i + j])) for j in np.flatnonzero(kind[i : i + WORDS] != PLAIN).tolist()) if s else b"" for i, s in zip(at.tolist(), slotted)]
+                ends = pa.array(np.concatenate([[0], np.cumsum(times)]), pa.int32())
+                i, n = pa.array(own), len(x)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("k").take(i), b.column("row").take(i), pa.array(np.full(n, way, np.int32)), pa.array(np.full(n, size, np.int32)), pa.array(at - first[of[at]]), pa.array(x.view(np.int64)), pa.array(slots, pa.list_(pa.string())), pa.array(total[of[at]])],
-                    ["k", "row", "way", "size", "at", "h", "slots", "total"],
+                    [b.column("k").take(i), b.column("row").take(i), pa.array(np.full(n, way, np.int32)), pa.array(np.full(n, size, np.int32)), pa.array(x.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(at - first[of[at]])), pa.ListArray.from_arrays(ends, pa.array(slots, pa.binary())), pa.array(total[own])],
+                    ["k", "row", "way", "size", "h", "places", "slots", "total"],
                 )
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key).alias("k"), row_id(text).alias("row"), text_or_empty(text).alias("t")).mapInArrow(task, f"k {kind}, row long, way int, size int, at long, h long, slots array<string>, total long")
-
-
-def consistent(windows: list) -> list[int]:
-    """Of an alignment's windows (item_at, filled: values of the item with those of the document) the places of those that agree."""
-    votes = Counter(pair for w in windows for pair in {tuple(p) for p in w["filled"]})
-    stands: dict[str, str] = {}
+    given = rows.select(F.col(key).alias("k"), row_id(text).alias("row"), text_or_empty(text).alias("t"))
+    return given.mapInArrow(task, f"k {kind}, row long, way int, size int, h long, places array<long>, slots array<binary>, total long")
+
+
+def alignments(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Shifts (a document's place less an item's) and how many windows stand so, the most first; pairs: places of each window."""
+    least = min(int(d[0]) - int(i[-1]) for i, d in pairs)
+    size = max(int(d[-1]) - int(i[0]) for i, d in pairs) - least + 1
+    count, held, n = np.zeros(size, np.int64), [], 0
+    for i, d in pairs:
+        if len(i) * len(d) > PAIRS:
+            long = 1 << int(size + i[-1] - i[0] + 1).bit_length()
+            a, b = np.zeros(long), np.zeros(long)
+            a[d - d[0]], b[i[-1] - i] = 1, 1
+            out = np.rint(np.fft.irfft(np.fft.rfft(a) * np.fft.rfft(b), long)).astype(np.int64)
+            start = int(d[0]) - int(i[-1]) - least
+            wide = int(d[-1] - d[0]) + int(i[-1] - i[0]) + 1
+            count[start : start + wide] += out[:wide]
+        else:
+            held.append((d[:, None] - i[None, :]).ravel() - least)
+            n += len(held[-1])
+            if n > PAIRS:
+                count += np.bincount(np.concatenate(held), minlength=size)
+                held, n = [], 0
+    if held:
+        count += np.bincount(np.concatenate(held), minlength=size)
+    some = np.flatnonzero(count)
+    some = some[np.argsort(-count[some], kind="stable")]
+    return some + least, count[some]
+
+
+def agreed(windows: list) -> int:
+    """How many of an item's windows a document has: of (places, slots) in the item and (their, fillings) in the document."""
+    n, pairs, values, fillings = 0, [], {}, {}
+    for w in windows:
+        if not any(w["slots"]):
+            n += len(w["places"])
+        else:
+            pairs.append((np.array(w["places"]), np.array(w["their"])))
+            values |= zip(w["places"], map(bytes, w["slots"]))
+            fillings |= zip(w["their"], map(bytes, w["fillings"]))
+    if not pairs:
+        return n
+    low = min(int(d[0]) for _, d in pairs)
+    which = np.full(max(int(d[-1]) for _, d in pairs) - low + 2, -1)  # of each place of the document its window; the last is none
+    for j, (_, d) in enumerate(pairs):
+        which[d - low] = j
+    open_ = np.concatenate([i for i, _ in pairs])
+    own = np.repeat(np.arange(len(pairs)), [len(i) for i, _ in pairs])
+    for shift in alignments(pairs)[0].tolist():
+        at = open_ + shift - low
+        fits = which[np.where((at >= 0) & (at < len(which) - 1), at, -1)] == own
+        if fits.any():
+            said = [tuple(zip(values[p].split(b" "), fillings[p + shift].split(b" "))) for p in open_[fits].tolist()]
+            n += consistent(said)
+            open_, own = open_[~fits], own[~fits]
+            if not len(open_):
+                break
+    return n
+
+
+def consistent(said: list[tuple[tuple[bytes, bytes], ...]]) -> int:
+    """Of an alignment's windows, each as pairs of an item's value and the document's, how many agree."""
+    votes = Counter(pair for pairs in said for pair in set(pairs))
+    stands: dict[bytes, bytes] = {}
     for a, b in sorted(votes, key=lambda p: (-votes[p], p)):
         stands.setdefault(a, b)
-    return [w["item_at"] for w in windows if all(stands[a] == b for a, b in w["filled"])]
+    return sum(all(stands[a] == b for a, b in pairs) for pairs in said)
 
 
 def filter_bits(items: DataFrame):
@@ -220,16 +292,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     Null and empty texts, and those of signs alone, hold nothing and are held by none; an empty table gives no rows. Rows that
     repeat a key are judged each by its own text, of documents as of items. Other columns are ignored.
     """
-    items = cut(windows_of(benchmark, item, item_text), "items").select(F.struct("k", "row").alias("item"), "way", "size", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"), "total")
+    given = benchmark.select(F.col(item).alias("k"), text_or_empty(item_text).alias("t")).withColumn("row", row_id("t")).dropDuplicates(["k", "row"])
+    same = ["h", "way", "size"]
+    found = windows_of(given, "k", "t").select(F.struct("k", "row").alias("item"), *same, "places", "slots", "total")
+    items = cut(found, "items")
     sizes = tuple(sorted(r["size"] for r in items.filter(F.col("way") == LITERAL).select("size").distinct().collect()))  # at most WORDS
-    own = windows_of(docs, key, text, filter_bits(items), sizes).select(F.struct("k", "row").alias("doc"), "way", "size", "at", "h", "slots")
-    shift = F.when(F.size("slots") > 0, F.col("at") - F.col("item_at"))  # null: no slots, so any place will do
-    filled = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b")))
-    both = own.join(items, ["h", "way", "size"]).filter(F.size("slots") == F.size("item_slots")).select("doc", "item", "way", "total", shift.alias("shift"), F.struct("item_at", filled.alias("filled")).alias("w"))
-    aligned = both.groupBy("doc", "item", "way", "shift").agg(F.collect_set("w").alias("ws"), F.max("total").alias("total"))
-    agreed = aligned.select("doc", "item", "way", "total", F.udf(consistent, "array<bigint>")("ws").alias("ats"))
-    held = agreed.groupBy("doc", "item", "way").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n"), F.max("total").alias("total"))
-    shares = held.select("doc", "item", (F.col("n") / F.col("total")).alias("share")).filter(F.col("share") >= similarity)
+    theirs = windows_of(docs, key, text, filter_bits(items), sizes).select(F.struct("k", "row").alias("doc"), *same, F.col("places").alias("their"), F.col("slots").alias("fillings"))
+    own = cut(theirs, "windows").dropDuplicates(["doc", *same])
+    # an item's rarest windows, one more than may be missing
+    marked = items.join(own.groupBy(*same).agg(F.count("*").alias("n_docs")), same, "left").join(items.groupBy(*same).agg(F.count("*").alias("n_items")), same)
+    before = Window.partitionBy("item", "way").orderBy(F.coalesce("n_docs", F.lit(0)), "h").rowsBetween(Window.unboundedPreceding, -1)
+    marked = cut(marked.withColumn("before", F.coalesce(F.sum(F.size("places")).over(before), F.lit(0))), "seeds")
+    missing = F.col("total") - F.ceil(F.lit(similarity) * F.col("total") - 1e-9)
+    seeds = marked.filter((F.col("before") <= missing) & F.col("n_docs").isNotNull())
+    pairs = cut(own.select("doc", *same).join(seeds.select("item", *same), same).select("doc", "item", "way").distinct(), "pairs")
+    few = own.join(marked.filter(F.col("n_items") <= COMMON), same).join(pairs, ["doc", "item", "way"], "left_semi")
+    shared = marked.filter(F.col("n_items") > COMMON)
+    many = pairs.join(own.join(shared.select(*same).distinct(), same, "left_semi"), ["doc", "way"]).join(shared, ["item", *same])
+    columns = ["doc", "item", "way", "total", F.struct("places", "slots", "their", "fillings").alias("w")]
+    both = few.select(*columns).unionByName(many.select(*columns))
+    held = both.groupBy("doc", "item", "way").agg(F.collect_list("w").alias("ws"), F.max("total").alias("total"))
+    shares = held.select("doc", "item", (F.udf(agreed, "bigint")("ws") / F.col("total")).alias("share")).filter(F.col("share") >= similarity)
     best = shares.groupBy("doc", "item").agg(F.max("share").alias("share"))
     return best.select(F.col("doc.k").alias(key), F.col("doc.row").alias("row"), F.col("item.k").alias("item"), "share")
 

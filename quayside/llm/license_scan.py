@@ -1,8 +1,9 @@
 """Licence scan: ordered signature rules behind a keyword gate, overlaps settled by priority and containment.
 
-Only DataFrame functions. One pass over the texts counts words and stores the texts that pass the gate (a few in a hundred);
-those are searched for the base phrases, paired with the rules whose keyword they hold, and searched for their matches. Of the matches,
-those that lie inside one of at least their own priority give way (the wider, then the earlier rule, wins among equals).
+Only DataFrame functions. One pass over the texts numbers the rows, counts words and stores the texts that pass the gate: those
+that hold a rule's keyword, or all words of a base phrase. They are searched for the phrases, paired with the rules whose keyword
+they hold, and searched for their matches. Of the matches, those that lie inside one of at least their own priority give way
+(the wider, then the earlier rule, wins among equals). Matches belong to a row by its number, so rows may share a key.
 """
 
 from __future__ import annotations
@@ -22,13 +23,6 @@ WORD = r"[\p{Alnum}\P{ASCII}]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrase and label; the places where a phrase's words stand one after the other are the base of the result.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: What a text, in lower case, must hold for any rule or phrase to match: one of these words, or a match of GATE.
-WORDS = (
-    "licens", "licenc", "copyright", "spdx", "commons", "cc0", "public", "gpl", "mozilla", "bsd", "wtfpl", "cddl", "eupl", "sspl", "apache", "rights", "proprietary", "shareware", "hereby", "redistribution",
-    "warrant", "cecill", "mulan", "odc-by", "affero", "zlib", "libpng", "xfree86", "jclark", "odbl", "eclipse", "documentation", "expat", "artistic", "sil.org", "mariadb", "nationalarchives", "attribution",
-)
-GATE = r"[em]pl\s*-?v?[0-9]|mit[-/]|cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
-
 
 def phrase_regex(phrase: str) -> str:
     return rf"(?i)(?<!{WORD}){GAP.join(phrase.split(' '))}(?!{WORD})"
@@ -38,9 +32,16 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD + "+")).cast("long")
 
 
-def gated(low: Column) -> Column:
-    """Whether a text in lower case may hold a rule's or a phrase's match."""
-    return reduce(or_, (F.contains(low, F.lit(w)) for w in WORDS)) | low.rlike(GATE)
+def gated(low: Column, signatures: list[Rule], phrases: bool = True) -> Column:
+    """Whether a text in lower case may hold a rule's match, by the rules' own keywords, or a phrase's."""
+    keywords = {r.keyword for r in signatures}
+    if "" in keywords:  # a rule without a keyword is tried on every text
+        return F.lit(True)
+    least = sorted(k for k in keywords if not any(j != k and j in k for j in keywords))
+    some = [F.contains(low, F.lit(k)) for k in least]
+    if phrases:
+        some += [reduce(and_, (F.contains(low, F.lit(w)) for w in p.split(" "))) for p, _ in BASE]
+    return reduce(or_, some, F.lit(False))
 
 
 def base_places(text: Column, low: Column) -> Column:
@@ -56,43 +57,51 @@ def base_places(text: Column, low: Column) -> Column:
     return F.filter(F.array(*(one(*x) for x in BASE)), lambda x: x["n"] > 0)
 
 
-def detections(docs: DataFrame, signatures: list[Rule] | None = None, key: str = "doc_id", text: str = "text", passed: bool = False) -> DataFrame:
+def detections(docs: DataFrame, signatures: list[Rule] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All matches that stand: key, rule_id, label, priority, confidence, start, end (code points, end exclusive).
 
-    Rows that repeat a key share one set of matches. A null or empty text has none; columns besides key and text don't matter.
+    Rows that share a key are matched each by its own text. A null or empty text has none; columns besides key and text don't matter.
     """
-    signatures = signatures or rules()
-    table = F.from_json(F.lit(json.dumps([r._asdict() | {"pattern": f"(?i){r.pattern}"} for r in signatures])), "array<struct<rule_id:int,label:string,priority:int,keyword:string,pattern:string,confidence:double>>")
-    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).withColumn("low", F.lower("t"))
-    tried = (rows if passed else rows.filter(gated(F.col("low")))).select("k", "t", F.explode(F.filter(table, lambda r: F.contains(F.col("low"), r["keyword"]))).alias("r"))
-    hits = tried.select("k", "r.*", F.transform(F.regexp_extract_all("t", F.col("r.pattern"), F.lit(0)), F.length).alias("long"), F.split("t", F.col("r.pattern"), -1).alias("parts")).filter(F.size("long") > 0)
+    signatures = rules() if signatures is None else signatures
+    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
+    held = cut(rows.filter(gated(F.lower("t"), signatures, phrases=False)).withColumn("row", F.monotonically_increasing_id()), "licences")
+    return held.select("row", "k").join(standing(held, signatures), "row").drop("row").withColumnRenamed("k", key)
+
+
+def standing(held: DataFrame, signatures: list[Rule]) -> DataFrame:
+    """row, rule_id, label, priority, confidence, start, end of the matches in texts t that stand; rows are told apart by their number."""
+    kind = "array<struct<rule_id:int,label:string,priority:int,keyword:string,pattern:string,confidence:double>>"
+    table = F.from_json(F.lit(json.dumps([r._asdict() | {"pattern": f"(?i){r.pattern}"} for r in signatures])), kind)
+    tried = held.withColumn("low", F.lower("t")).select("row", "t", F.explode(F.filter(table, lambda r: F.contains(F.col("low"), r["keyword"]))).alias("r"))
+    hits = tried.select("row", "r.*", F.transform(F.regexp_extract_all("t", F.col("r.pattern"), F.lit(0)), F.length).alias("long"), F.split("t", F.col("r.pattern"), -1).alias("parts")).filter(F.size("long") > 0)
     # start of a match: all that stands before it, parts and matches, summed in the order of the text
     pieces = F.transform(F.col("long"), lambda n, i: F.struct(F.length(F.get(F.col("parts"), i)).alias("before"), n.alias("n")))
-    placed = hits.select("k", "rule_id", "label", "priority", "confidence", F.posexplode(pieces).alias("at", "x"))
-    so_far = Window.partitionBy("k", "rule_id").orderBy("at")
+    placed = hits.select("row", "rule_id", "label", "priority", "confidence", F.posexplode(pieces).alias("at", "x"))
+    so_far = Window.partitionBy("row", "rule_id").orderBy("at")
     spans = placed.withColumn("end", F.sum(F.col("x.before") + F.col("x.n")).over(so_far)).withColumn("start", F.col("end") - F.col("x.n")).filter("end > start")
-    earlier = Window.partitionBy("k").orderBy("start", F.desc("end"), F.desc("priority"), "rule_id").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("row").orderBy("start", F.desc("end"), F.desc("priority"), "rule_id").rowsBetween(Window.unboundedPreceding, -1)
     levels = sorted({r.priority for r in signatures})
     for p in levels:
         spans = spans.withColumn(f"reach{p}", F.max(F.when(F.col("priority") >= p, F.col("end"))).over(earlier))
-    reach = F.coalesce(*(F.when(F.col("priority") == p, F.col(f"reach{p}")) for p in levels))
-    return spans.filter(reach.isNull() | (reach < F.col("end"))).select(F.col("k").alias(key), "rule_id", "label", "priority", "confidence", "start", "end")
+    reach = F.coalesce(F.lit(None).cast("long"), *(F.when(F.col("priority") == p, F.col(f"reach{p}")) for p in levels))
+    return spans.filter(reach.isNull() | (reach < F.col("end"))).select("row", "rule_id", "label", "priority", "confidence", "start", "end")
 
 
 def scan(docs: DataFrame, signatures: list[Rule] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts give 0 words, null places, empty labels and score 0. score: the greatest confidence of a match that
-    stands, at least 0.5 where a base phrase stands. Rows that repeat a key are kept; null keys are matched as any other.
+    stands, at least 0.5 where a base phrase stands. Rows that share a key (or have none) are
+    judged each by its own text.
     An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    t = F.col("t")
-    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).select("k", "t", F.lower(t).alias("low"))
-    one_pass = rows.select("k", words(t).alias("n_words"), F.when(gated(F.col("low")), t).alias("t"))
+    t, signatures = F.col("t"), rules() if signatures is None else signatures
+    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
+    one_pass = rows.select("k", F.monotonically_increasing_id().alias("row"), words(t).alias("n_words"), F.when(gated(F.lower(t), signatures), t).alias("t"))
     held = cut(one_pass, "licences")  # the texts that pass the gate, and every text's words
-    found = held.select("k", "n_words", "t", F.lower(t).alias("low")).select("k", "n_words", F.when(t.isNotNull(), base_places(t, F.col("low"))).alias("base"))
-    own = detections(held.filter(t.isNotNull()), signatures, "k", "t", passed=True).groupBy(F.col("k").alias("k2")).agg(F.collect_set("label").alias("own"), F.max("confidence").alias("sure"))
-    both = found.join(own, F.col("k").eqNullSafe(F.col("k2")), "left")
+    found = held.select("k", "row", "n_words", F.when(t.isNotNull(), base_places(t, F.lower(t))).alias("base"))
+    own = standing(held.filter(t.isNotNull()), signatures).groupBy(F.col("row").alias("row2")).agg(F.collect_set("label").alias("own"), F.max("confidence").alias("sure"))
+    both = found.join(own, F.col("row") == F.col("row2"), "left")
     base = F.coalesce(F.col("base"), F.expr("array()").cast("array<struct<label:string,n:bigint,first:bigint,last:bigint>>"))
     some = F.size(base) > 0
     names = F.array_sort(F.transform(base, lambda x: x["label"]))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quayside.llm.common import cut, text_or_empty
+from quayside.llm.common import cut, dropped, joined_hot, text_or_empty, unused
 
 MIN_WORDS = 10
 WORD = r"\S+"  # ASCII white space parts words
@@ -77,7 +77,8 @@ def rank_levels(rows: DataFrame, most: int) -> list[DataFrame]:
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """k, d, line: the lines that go."""
-    levels = rank_levels(cut(lines(docs, key, text, min_words), "lines"), min_words)
+    every = cut(lines(docs, key, text, min_words), "lines")
+    levels = rank_levels(every, min_words)
     base = levels[0]
     ends = F.array(F.struct(F.col("i").alias("start"), F.col("f").alias("n")), F.struct((F.col("i") - F.col("b") + 1).alias("start"), F.col("b").alias("n")))
     wanted = base.select(*DOC, F.explode(F.array_distinct(F.filter(ends, lambda x: x["n"].isNotNull()))).alias("x")).select(*DOC, "x.start", "x.n").distinct()
@@ -91,10 +92,13 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         found = own if found is None else found.unionByName(own)
     found = cut(found, "runs")
     place = F.struct("k", "d", "start")
-    firsts = found.groupBy("n", "r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    later = found.join(firsts, ["n", "r1", "r2"]).filter(place > F.col("first"))
+    firsts = found.groupBy("n", "r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
+    later = joined_hot(found, cut(firsts, "firsts"), ["n", "r1", "r2"], "times", found.count()).filter(place > F.col("first"))
     covered = later.select(*DOC, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("i")).distinct()
-    return covered.join(base.select(F.col("k").alias("k1"), F.col("d").alias("d1"), F.col("i").alias("i1"), "line"), covered["k"].eqNullSafe(F.col("k1")) & (covered["d"] == F.col("d1")) & (covered["i"] == F.col("i1"))).select(*DOC, "line")
+    gone = covered.join(base.select(F.col("k").alias("k1"), F.col("d").alias("d1"), F.col("i").alias("i1"), "line"), covered["k"].eqNullSafe(F.col("k1")) & (covered["d"] == F.col("d1")) & (covered["i"] == F.col("i1"))).select(*DOC, "line")
+    gone = cut(gone, "gone")
+    dropped(docs.sparkSession, every, found, *levels)
+    return gone
 
 
 def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -102,13 +106,16 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
 
     A null text stays null. Documents are in the order of their keys (nulls first), then of their texts' hashes; rows with the
     same key and text are one document and get the same text. Blank lines stay and don't part a run. An empty table gives no
-    rows. Columns whose names the operator uses within (k, d, line) don't clash.
+    rows. A column n_deleted of docs is replaced; other names don't clash.
     """
-    gone = repeated_lines(docs, key, text, min_words).groupBy(*DOC).agg(F.collect_set("line").alias("_gone")).select(F.col("k").alias("_k"), F.col("d").alias("_d"), "_gone")
-    both = docs.join(gone, docs[key].eqNullSafe(gone["_k"]) & (F.xxhash64(text_or_empty(text)) == gone["_d"]), "left")
+    k, d, lost, hashed = unused(docs, "k", "d", "lost", "hashed")
+    gone = repeated_lines(docs, key, text, min_words).groupBy(*DOC).agg(F.collect_set("line").alias(lost)).select(F.col("k").alias(k), F.col("d").alias(d), lost)
+    marked = docs.withColumn(hashed, F.xxhash64(text_or_empty(text)))
+    both = marked.join(gone, marked[key].eqNullSafe(gone[k]) & (marked[hashed] == gone[d]), "left")
     all_lines = F.split(text, "\n", -1)
-    ends = F.array_sort(F.concat(F.array(F.lit(-1)), "_gone", F.array(F.size(all_lines))))
+    ends = F.array_sort(F.concat(F.array(F.lit(-1)), lost, F.array(F.size(all_lines))))
     # what stands between the lines that go, one slice each: a long text takes time in proportion to its lines
     kept = F.transform(F.slice(ends, 2, F.size(ends)), lambda e, j: F.slice(all_lines, F.get(ends, j) + 2, e - F.get(ends, j) - 1))
     kept = F.array_join(F.flatten(kept), "\n")
-    return both.select(*(docs[c] if c != text else F.when(F.col("_gone").isNull(), docs[c]).otherwise(kept).alias(c) for c in docs.columns), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_deleted"))
+    given = [c for c in docs.columns if c != "n_deleted"]
+    return both.select(*(both[c] if c != text else F.when(F.col(lost).isNull(), both[c]).otherwise(kept).alias(c) for c in given), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_deleted"))

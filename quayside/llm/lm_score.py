@@ -5,8 +5,8 @@ texts. A symbol is coded in the longest context that has been seen; a context th
 escape (method C: distinct symbols over all counts and distinct symbols), and shorter contexts then leave out all symbols of the
 longer one. Below the empty context all 257 symbols that are left are equally likely. So probabilities add up to one.
 
-Nothing of the model is broadcast: words and 5-grams grow with the corpus. Texts are dealt by hash into chunks, one for each shuffle
-partition. A chunk sends each of its distinct words and 5-grams once, with its training count; a window adds these up by word and
+Nothing of the model is broadcast: words and 5-grams grow with the corpus. Texts are dealt by hash into chunks of about
+CHUNK_BYTES, so what a task holds stays the same as the corpus grows. A chunk sends each of its distinct words and 5-grams once, with its training count; a window adds these up by word and
 5-gram over all chunks (a word has one row for each chunk at most, however often it occurs); 5-grams that no training text has
 get their probabilities from the shorter contexts by joins; and each chunk gets back exactly the figures it asked for, grouped
 with its texts, whose shuffle both steps use.
@@ -28,6 +28,7 @@ ORDER, BITS = 4, 9
 END, BEGIN, SYMBOLS = 256, 257, 257
 MASK = (1 << BITS) - 1
 PARTS, REST = 7, 2
+CHUNK_BYTES = 10 << 20
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -143,7 +144,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK_BYTES))
     kind = docs.schema[key].dataType.simpleString()
     part = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % PARTS
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"), (part != REST).alias("trains"))

@@ -1,15 +1,16 @@
 """Personal data: patterns, and a skip-chain conditional random field that carries their labels to what only resembles them.
 
 Patterns (the base) find e-mail addresses, IP addresses, card and telephone numbers. The field labels a text's candidate tokens
-(those with a digit or an @; no other token can be personal data here) as one of the four or as nothing. Its factors: shape
+(those with a digit or an @) as one of the four, as a secret (an access token or password: no pattern finds those, the field
+alone does) or as nothing. Its factors: shape
 and context of a token; neighbouring candidates; and skip edges, which link each token to the next one in the text that repeats
 it or resembles it (same digits, same last seven digits, same address). Loopy sum-product messages over all edges give each
 token's label; so a number written once with its country code and once without gets one label in both places. A chain of links
 has the group's size; no pairs within a group are made.
 
-Weights are fitted by pseudo-likelihood on labels that the patterns give, on at most SAMPLE texts and SAMPLE_TOKENS tokens of
-each (the texts of the smallest hashes); in a third of these tokens the features that the patterns look at are hidden, so the
-field has to use the others and the links. Without any sample it adds nothing.
+Weights are fitted by pseudo-likelihood on labels that the patterns give, and for secrets a cue before a long token, on at most
+SAMPLE texts and SAMPLE_TOKENS tokens of each (the texts of the smallest hashes); labels spread over skip edges first. In a third of these tokens the features that the
+patterns look at are hidden, so the field has to use the others and the links. Without any sample it adds nothing.
 
 The texts are read once: a first pass stores patterns' spans, candidates and edges, without text; fitting and messages use those.
 """
@@ -27,9 +28,12 @@ from pyspark.sql import functions as F
 from quayside.llm.common import cut, slices
 
 KINDS = ("email", "ip", "card", "phone")
+LABELS = (*KINDS, "secret")
 SAMPLE, SAMPLE_TOKENS = 2000, 200
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+SIGNS = "=:|-<>()[]{}\"'.,;!?#*"
+LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # begun inside a run of digits it would end as from its start
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -37,8 +41,12 @@ CANDIDATE = re.compile(r"[^\x20\x09-\x0D]+")
 CUES = (frozenset("email e-mail mail mailto contact write".split()), frozenset("ip host server address ipv4 addr".split()), frozenset("card visa mastercard amex credit payment".split()), frozenset("phone tel telephone call mobile fax cell".split()))
 ROUNDS, DAMP, SURE = 8, 0.3, 0.8
 #: Features that the patterns themselves look at: hidden in part of the sample.
-HIDDEN = (1, 4, 6, 11)
-N_FEATURES = 20
+HIDDEN = (1, 4, 6, 11, 22)
+N_FEATURES = 24
+SECRET_CUES = frozenset("token secret password passwd pwd key apikey api_key api-key access_key bearer auth".split())
+SECRET_CHARS = 16
+WRAPS = ".,;:!?\"'<>()[]{}|"
+GLUED = re.compile(r"([A-Za-z_-]+)[=:][\"'(<]*(?=[^\"'(<])")
 
 
 def luhn(digits: str) -> bool:
@@ -51,13 +59,27 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """As leftmost matches of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`, found from each @: in proportion to the text."""
+    found, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            last = m.end()
+            found.append((start, last))
+        at = text.find("@", max(last, at + 1))
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), leftmost and not overlapping within a kind; matches that fail their check are dropped."""
     found = []
     if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        found += [(a, 0, b) for a, b in emails(text)]
     if DIGIT.search(text):
-        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p) < 4 and int(p or 0) < 256 for p in (x.lstrip("0") for x in m[0].split(".")))]
         for m in CARD.finditer(text):
             digits = "".join(DIGIT.findall(m[0]))
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -88,16 +110,20 @@ def candidates(text: str) -> tuple[list[tuple[int, int]], list[int], list[tuple[
     for m in CANDIDATE.finditer(text):
         word = m[0]
         if "@" in word or DIGIT.search(word):
-            core = word.strip(".,;:!?\"'<>()[]{}|")
-            start = m.start() + word.find(core) if core else m.start()
+            glued = GLUED.match(word.lstrip(WRAPS))
+            cue = (glued[1] if glued else before).lower().strip(WRAPS + "#=")
+            rest = word.lstrip(WRAPS)[glued.end() :] if glued else word
+            core = rest.strip(WRAPS)
+            start = m.start() + len(word) - len(rest) + rest.find(core) if core else m.start()
             core = core or word
             end, i, n = start + len(core), len(spans), len(DIGIT.findall(core))
             bits = 1 | (1 << 1) * ("@" in core) | (1 << 2) * bool(re.search(r"\.[A-Za-z]{2,}$", core)) | (1 << 3) * bool(re.search("[A-Za-z]", core)) | (1 << 4) * core.startswith("+") | (1 << 5) * (core.count(".") == 3)
             bits |= (1 << 6) * bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", core)) | (1 << 7) * ("-" in core) | (1 << 8) * (n <= 2) | (1 << 9) * (3 <= n <= 4) | (1 << 10) * (n >= 10)
-            low = before.lower().strip(".,;:!?\"'<>()[]{}|#")
-            for k, cue in enumerate(CUES):
-                bits |= (1 << 15 + k) * (low in cue)
+            for k, cues in enumerate(CUES):
+                bits |= (1 << 15 + k) * (cue in cues)
             bits |= (1 << 19) * (start - last_end == 1)
+            long = len(core) >= SECRET_CHARS and n > 1 and "@" not in core
+            bits |= (1 << 20) * long | (1 << 21) * (long and bool(re.fullmatch("[0-9A-Fa-f]+", core))) | (1 << 22) * (cue in SECRET_CUES) | (1 << 23) * (long and 0 < n < len(core))
             spans.append((start, end))
             feats.append(bits)
             if start - last_end == 1:
@@ -114,7 +140,8 @@ def candidates(text: str) -> tuple[list[tuple[int, int]], list[int], list[tuple[
             last_end = m.end()
         elif run:
             close()
-        before = word
+        if word.strip(SIGNS):
+            before = word
     if run:
         close()
     return spans, feats, edges
@@ -144,24 +171,37 @@ def unpacked(feats: np.ndarray) -> np.ndarray:
     return ((feats[:, None] >> np.arange(N_FEATURES)) & 1).astype(np.float64)
 
 
-def labels_of(spans: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Of each candidate: 1 + kind of the first pattern's span that holds its start, else 0."""
-    out = np.zeros(len(spans), np.int64)
+def labels_of(spans: np.ndarray, base: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    """Of each candidate: 1 + kind of the first pattern's span that holds its start; a secret if it is long and mixed and has the cue; else 0."""
+    out = np.where((feats >> 22 & feats >> 23 & 1) > 0, len(LABELS), 0)
     for start, kind, end in base[::-1]:
         out[(spans[:, 0] >= start) & (spans[:, 0] < end)] = kind + 1
     return out
 
 
+def spread(labels: np.ndarray, skips: np.ndarray) -> None:
+    """Tokens without a label take that of a token they repeat or resemble: what is personal data in one place is so in all."""
+    while True:
+        a, b = labels[skips[:, 0]], labels[skips[:, 1]]
+        to_b, to_a = (a > 0) & (b == 0), (b > 0) & (a == 0)
+        if not (to_a | to_b).any():
+            return
+        labels[skips[to_b, 1]] = a[to_b]
+        labels[skips[to_a, 0]] = b[to_a]
+
+
 def fit(rows: list[dict], rounds: int = 600, rate: float = 1.0, keep: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of features (N_FEATURES, 5) and of label pairs on near and skip edges (2, 5, 5), by pseudo-likelihood."""
-    k = len(KINDS) + 1
+    """Weights of features (N_FEATURES, 6) and of label pairs on near and skip edges (2, 6, 6), by pseudo-likelihood."""
+    k = len(LABELS) + 1
     feats, gold, edges, n = [], [], [], 0
     for r in rows:
         f = np.asarray(r["feats"], np.int64)[:SAMPLE_TOKENS]
         feats.append(f)
-        gold.append(labels_of(np.asarray(r["spans"], np.int64).reshape(-1, 2)[: len(f)], np.asarray(r["base"], np.int64).reshape(-1, 3)))
+        gold.append(labels_of(np.asarray(r["spans"], np.int64).reshape(-1, 2)[: len(f)], np.asarray(r["base"], np.int64).reshape(-1, 3), f))
         e = np.asarray(r["edges"], np.int64).reshape(-1, 3)
-        edges.append(e[(e[:, :2] < len(f)).all(1)] + [n, n, 0])
+        e = e[(e[:, :2] < len(f)).all(1)]
+        spread(gold[-1], e[e[:, 2] == 1])
+        edges.append(e + [n, n, 0])
         n += len(f)
     w, v = np.zeros((N_FEATURES, k)), np.zeros((2, k, k))
     if not n or not any(g.any() for g in gold):
@@ -245,7 +285,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        shown = lambda x: [{"kind": KINDS[k], "start": int(a), "end": int(e)} for a, k, e in x]
+        shown = lambda x: [{"kind": LABELS[k], "start": int(a), "end": int(e)} for a, k, e in x]
         for b in batches:
             base, every = [], []
             for r in zip(*(b.column(c).to_pylist() for c in ("base", "spans", "feats", "edges"))):

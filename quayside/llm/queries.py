@@ -92,7 +92,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = map(counted, pii.KINDS)
-    return found.select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+    secrets = F.size(F.filter("spans", lambda x: x["kind"] == "secret")).cast("long").alias("n_secret")
+    return found.select("doc_id", *counts, F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"), secrets, F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

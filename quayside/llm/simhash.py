@@ -6,7 +6,8 @@ all with the same bits in those blocks share: tries lie on different machines an
 leaves of its tries; a node is a range of them. It walks pairs of nodes down all tries at once, level by level, adds up the
 bits in which the two paths differ and drops a pair beyond the budget of 4. A pair whose leaves are all in one component
 already is dropped too, so a large group of near copies costs about its size and not its square. Each trie gives a link from
-each leaf to the first of its component; no set of all pairs exists anywhere.
+each leaf to the first of its component; no set of all pairs exists anywhere. A trie of more than HOT leaves is dealt out once
+more, by 35 choices of the bits that its leaves don't share; what lies in one task then agrees on 43 bits at least.
 
 Components: repeated large-star and small-star steps over these links, as joins, each written to shared storage.
 """
@@ -19,14 +20,16 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import cut, fresh_dir, remove, slices, text_or_empty
+from quayside.llm.common import cut, fresh_dir, joined_hot, remove, slices, text_or_empty, unused
 
 SEED, WORDS, BUDGET, BLOCKS = 42, 4, 4, 7
 #: Node pairs that a task takes down a level at once.
 FRONT = 1 << 18
+#: Leaves beyond which a trie is dealt out again.
+HOT = 1 << 16
 
 
 def simhash(text: bytes, n: int = WORDS, seed: int = SEED) -> int:
@@ -48,21 +51,22 @@ def simhash(text: bytes, n: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fp (the fingerprint's bits as a signed long). A null text is as an empty one: fingerprint 0."""
+    """k, th (a hash of the text), fp (the fingerprint's bits as a signed long). A null text is as an empty one: fingerprint 0."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
             found = np.fromiter((simhash(x) for x in b.column("t").cast(pa.binary()).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(found.view(np.int64))], ["k", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("th"), pa.array(found.view(np.int64))], ["k", "th", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(task, f"k {kind}, fp long").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.xxhash64(text_or_empty(text)).alias("th"), text_or_empty(text).alias("t")).mapInArrow(task, f"k {kind}, th long, fp long")
 
 
-def masks(budget: int = BUDGET, blocks: int = BLOCKS) -> list[int]:
-    """The bits of each choice of blocks; two fingerprints within the budget agree on all bits of at least one."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    bits = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:])]
+def masks(budget: int = BUDGET, blocks: int = BLOCKS, within: int = (1 << 64) - 1) -> list[int]:
+    """The bits of each choice of blocks of the bits `within`; two fingerprints within the budget agree on all bits of at least one."""
+    places = [b for b in range(64) if within >> b & 1]
+    edges = [len(places) * i // blocks for i in range(blocks + 1)]
+    bits = [sum(1 << b for b in places[lo:hi]) for lo, hi in zip(edges, edges[1:])]
     return [sum(c) for c in combinations(bits, blocks - budget)]
 
 
@@ -135,10 +139,22 @@ def ranged(op: np.ufunc, label: np.ndarray, front: np.ndarray) -> tuple[np.ndarr
     return out[0], out[1]
 
 
-def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
+def signed(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits)
+
+
+def links(prints: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) whose components are those of all pairs within the budget."""
-    every = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("choice"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for i, m in enumerate(masks(budget, budget + 3))))
-    dealt = prints.select("fp", F.explode(every).alias("x")).select("x.choice", "x.bits", "fp").repartition("choice", "bits").sortWithinPartitions("choice", "bits")
+    every = masks(budget, budget + 3)
+    first = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(signed(m)).alias("bits")) for i, m in enumerate(every)))
+    dealt = prints.select("fp", F.explode(first).alias("x")).select("x.choice", "x.bits", "fp")
+    large = cut(dealt.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("choice", "bits"), "large-tries")
+    if not large.isEmpty():
+        again = F.array(*(F.array(*(signed(m | x) for x in masks(budget, budget + 3, ~m & (1 << 64) - 1))) for m in every))
+        split = dealt.join(large, ["choice", "bits"]).select("choice", "fp", F.posexplode(F.get(again, F.col("choice"))).alias("i", "m"))
+        finer = split.select((F.col("choice") * len(every) + F.col("i") + len(every)).alias("choice"), F.col("fp").bitwiseAND(F.col("m")).alias("bits"), "fp")
+        dealt = dealt.join(large, ["choice", "bits"], "left_anti").unionByName(finer)
+    dealt = dealt.repartition("choice", "bits").sortWithinPartitions("choice", "bits")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -199,23 +215,36 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = after
 
 
+def rooted(docs: DataFrame, key: str, text: str, budget: int) -> tuple[DataFrame, DataFrame]:
+    """k, th, fp of each row; and fp, root, times (rows with this fp) of each fingerprint. Both in shared storage."""
+    rows = cut(fingerprints(docs, key, text), "fingerprints")
+    prints = cut(rows.groupBy("fp").agg(F.count("*").alias("times"), F.min("k").alias("first")), "prints")
+    roots = components(links(prints.select("fp"), budget))
+    return rows, cut(prints.join(roots, prints.fp == roots.v, "left").select("fp", "times", "first", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
     """key, fp, component (the smallest key that a row's fingerprint reaches over links), one row for each row of docs.
 
     Rows with equal texts, null keys and empty texts are rows as any other; a component of null keys alone has a null id.
     An empty table gives no rows. Other columns are ignored.
     """
-    rows = cut(fingerprints(docs, key, text), "fingerprints")
-    prints = rows.groupBy("fp").agg(F.min(key).alias("first"))
-    roots = components(links(prints.select("fp"), budget))
-    rooted = prints.join(roots, prints.fp == roots.v, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("fp", "component")
-    return rows.join(named, "fp").select(key, "fp", "component")
+    rows, prints = rooted(docs, key, text, budget)
+    heads = prints.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("n"))
+    named = cut(joined_hot(prints.select("fp", "root", "times"), heads, ["root"], "n", prints.count()).select("fp", "component", "times"), "components")
+    return joined_hot(rows, named, ["fp"], "times", rows.count()).select(F.col("k").alias(key), "fp", "component")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
-    """The rows of docs of which each component keeps the one with the smallest key; of rows with that key, one stays. Rows with a null key stay."""
-    found = groups(docs, key, text, budget)
-    heads = found.filter(F.col(key) == F.col("component")).select(F.col(key).alias("_head")).distinct()
-    kept = docs.join(heads, docs[key] == heads["_head"], "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.filter(F.col(key).isNull()))
+    """The rows of docs of which each component keeps one: the smallest key, null last, of these the smallest hash of the text.
+
+    Rows that share a key are judged each by its own text; of rows with one key and one text, one stays.
+    """
+    rows, prints = rooted(docs, key, text, budget)
+    root = joined_hot(rows, prints.select("fp", "root", "times"), ["fp"], "times", rows.count())
+    least = root.groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "th")).alias("x"))
+    head, own, hashed = unused(docs, "head", "own", "hashed")
+    heads = least.select(F.col("x.k").alias(head), F.col("x.th").alias(own)).distinct()
+    marked = docs.withColumn(hashed, F.xxhash64(text_or_empty(text)))
+    kept = marked.join(heads, marked[key].eqNullSafe(heads[head]) & (marked[hashed] == heads[own]), "left_semi")
+    return kept.dropDuplicates([key, hashed]).drop(hashed)

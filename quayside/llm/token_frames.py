@@ -5,7 +5,7 @@ id last), then one frame with the keys (an Arrow stream), then the seek table in
 with the compressed size, the size and the checksum (low 32 bits of XXH64) of each frame, and a footer. Any zstandard reader can
 decompress the file; this one reads the table and then only the frames it is asked for, and checks each.
 
-Files are ranges of the keys: the text is shuffled once, by range, and each task writes one file, under a name of its own
+Files are ranges of the keys (within a key, of the texts' hashes): the text is shuffled once, by range, and each task writes one file, under a name of its own
 attempt. The manifest, itself a table in shared storage, lists the files of the attempts that succeeded; so a lost executor or
 a repeated task leaves at most an unlisted file. Positions over all files come from the manifest's sums.
 """
@@ -100,7 +100,8 @@ class Reader:
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The tokenizer drops white space and joins nothing across it, so each distinct word is encoded once. A plain word (Latin
+    For tokenizers like that of word_bpe_49k.json alone (lower case, words ended by "</w>", byte-level letters): another must not
+    be given. The tokenizer drops white space and joins nothing across it, so each distinct word is encoded once. A plain word (Latin
     letters below U+0250, no apostrophe, no special token) is cut into its runs of letters, digits and other signs as the
     tokenizer's own rule does, and each distinct run meets the vocabulary once; all other words go through the tokenizer whole.
     """
@@ -210,8 +211,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def write(docs: DataFrame, folder: str | None = None, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes all rows of docs and gives the manifest: file, part, n_docs, n_tokens, first_token.
 
-    Null texts are as empty ones: the end id alone. Rows that repeat a key are all written, in the order of their texts; null
-    keys come first. An empty table gives no file. Other columns are ignored.
+    Null texts are as empty ones: the end id alone. Rows that repeat a key are all written, in the order of their texts' hashes
+    (so they may lie in several files); null keys come first. An empty table gives no file. Other columns are ignored.
     """
     spark = docs.sparkSession
     folder, tokenizer = folder or fresh_dir(spark, "tokens"), tokenizer or tokenizer_path()
@@ -239,7 +240,7 @@ def write(docs: DataFrame, folder: str | None = None, key: str = "doc_id", text:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([context.partitionId()], pa.int32()), pa.array([table.num_rows], pa.int64()), pa.array([total], pa.int64())], ["file", "part", "n_docs", "n_tokens"])
 
-    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
+    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).withColumn("h", F.xxhash64("t")).repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").select("k", "t")
     manifest = cut(rows.mapInArrow(task, "file string, part int, n_docs long, n_tokens long"), "manifest")
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
     return manifest.select(F.concat(F.lit(folder + "/"), "file").alias("file"), "part", "n_docs", "n_tokens", F.coalesce(before, F.lit(0)).alias("first_token"))

@@ -242,7 +242,7 @@ def test_pii_skip_links_carry_labels():
     assert any(e[2] == 1 for e in edges)
     linked = pii.marginals(np.array(feats), np.array(edges), w, v)[1]
     alone = pii.marginals(np.array(feats), np.array(edges)[[e[2] == 0 for e in edges]].reshape(-1, 3), w, v)[1]
-    assert linked.shape == (5,) and v[1].any() and abs(linked - alone).max() > 1e-6
+    assert linked.shape == (len(pii.LABELS) + 1,) and v[1].any() and abs(linked - alone).max() > 1e-6 and linked.argmax() == 1 + pii.LABELS.index("phone")
 
 
 def test_decontaminate(spark):
@@ -345,14 +345,62 @@ def test_quality_counts(spark, docs):
         assert r.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
-def test_kneser_ney_adds_up_and_rejects_junk(spark, docs):
-    codes, n = np.unique(np.concatenate([quality.grams(t.encode()) for t in docs]), return_counts=True)
-    model = quality.fit(codes, n)
-    p = quality.probability(model, np.arange(1 << 20, dtype=np.uint32)).reshape(-1, 32).sum(1)
-    assert np.allclose(p, 1)
-    clean = [t for t in docs if len(words(t)) > 60 and not re.search(r"[#*$%&|<>]", t)]
-    found = got(quality.judged(table(spark, [*clean, "zq!x;9 (vv) " * 2 + " ".join(f"q{i}z(x{i * 7})!jk;;" for i in range(80))])))
-    assert not found.loc[len(clean)].kept and found.loc[: len(clean) - 1][~found.base_failed].kept.all()
+def test_kneser_ney_brute_force(spark, docs):
+    texts = [t.encode() for t in docs[:150]] + ["Слова на другом языке имеют свои буквы и цифры 2024.".encode()]
+    counts = Counter()
+    for t in texts:
+        x = b"    " + bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in t)
+        counts.update(x[i : i + 5] for i in range(len(t)))
+    frame = spark.createDataFrame([(t.decode(), "x") for t in texts], "text string, lang string")
+    got_counts = {int(r.gram).to_bytes(5, "big"): r.n for r in quality.gram_counts(frame).collect()}
+    assert got_counts == counts
+    tables = {5: counts}
+    for k in range(4, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])  # in how many contexts
+    off, by_context = {}, {}
+    for k, table_ in tables.items():
+        n1, n2, n3, n4 = (sum(c == j for c in table_.values()) for j in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 and n2 and n3 else None
+        off[k] = (0.5, 1.0, 1.5) if y is None else tuple(min(max(d, 0.05), m) for m, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
+        by_context[k] = defaultdict(dict)
+        for g, c in table_.items():
+            by_context[k][g[:-1]][g[-1]] = c
+
+    def p(context, s):
+        out = 1 / 256
+        for k in range(1, 6):
+            seen = by_context[k].get(context[5 - k :])
+            if seen:
+                d = {x: min(off[k][min(c, 3) - 1], c) for x, c in seen.items()}
+                out = (seen.get(s, 0) - d.get(s, 0)) / sum(seen.values()) + sum(d.values()) / sum(seen.values()) * out
+        return out
+
+    codes = np.array([int.from_bytes(g, "big") for g in counts], np.uint64)
+    model = quality.fit(codes, np.array(list(counts.values())))
+    assert all((np.diff(h.astype(object)) > 0).all() for order in model for h in order[::2])  # sorted by hash
+    some = [*list(counts)[:300], b"zzzzz", b"the q", b"    \xff"]
+    found = quality.probability(model, np.array([int.from_bytes(g, "big") for g in some], np.uint64))
+    assert found == pytest.approx([p(g[:4], g[4]) for g in some], rel=1e-5)
+    every = np.array([int.from_bytes(b"the " + bytes([s]), "big") for s in range(256)], np.uint64)
+    assert quality.probability(model, every).sum() == pytest.approx(1, rel=1e-5)
+    want = -np.mean([np.log2(p(x[:4], x[4])) for x in (b"    the cat"[i : i + 5] for i in range(7))])
+    assert quality.bits_of([b"dog", b"The cat"], model)[1] == pytest.approx(want, rel=1e-5)
+
+
+def test_quality_rejects_junk(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    junk = " ".join(f"q{i}z(x{i * 7})!jk;;" for i in range(80))
+    found = got(quality.judged(frame.unionByName(frame.limit(1).withColumn("doc_id", F.lit(-5).cast("long")).withColumn("text", F.lit(junk)))))
+    labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet").set_index("doc_id").quality
+    fair = found[~found.base_failed].join(labels)
+    assert not found.loc[-5].kept and fair[fair.quality == 1].kept.mean() > 0.98
+
+
+def test_quality_copies_count_once(spark):
+    texts = ["the same text again and again"] * 50 + ["another text"]
+    frame = table(spark, texts)
+    once = quality.gram_counts(table(spark, texts[-2:]))
+    assert sorted(map(tuple, quality.gram_counts(frame).collect())) == sorted(map(tuple, once.collect()))
 
 
 def test_simhash_brute_force(spark, docs):
