@@ -166,3 +166,34 @@ def key_similarity(a: Column, b: Column) -> Column:
     held = F.when(la <= lb, F.contains(b, a)).otherwise(F.contains(a, b))
     score = F.when(a == b, F.lit(1.0)).when(F.arrays_overlap(variants(a), variants(b)), F.lit(0.92)).when((short >= 5) & held, short / long).otherwise(1 - F.levenshtein(a, b) / F.greatest(long, F.lit(1)))
     return F.when((la == 0) | (lb == 0), F.lit(0.0)).otherwise(score)
+
+
+def vessel_parts(v: Column) -> Column:
+    """vessel, voyage: the first word with a digit is the voyage, the others are the vessel."""
+    words = F.regexp_extract_all(F.upper(v), F.lit("([A-Z0-9]+)"), F.lit(1))
+    voyage = F.get(F.filter(words, lambda w: w.rlike("[0-9]")), F.lit(0))
+    at = F.array_position(words, voyage)
+    rest = F.when(voyage.isNull(), words).otherwise(F.filter(words, lambda w, i: i + 1 != at))
+    return F.struct(F.array_join(rest, " ").alias("vessel"), F.coalesce(voyage, F.lit("")).alias("voyage"))
+
+
+def vessel_pending(a: Column, b: Column) -> Column:
+    """Of vessel_parts of a declaration and another paper: the same vessel, but only one of them has a voyage."""
+    return (a["vessel"] != "") & (a["vessel"] == b["vessel"]) & ((a["voyage"] != "") != (b["voyage"] != ""))
+
+
+def report_vessel(v: Column) -> Column:
+    """A vessel as reports compare it: without the words for vessel and voyage, letters and digits alone."""
+    bare = F.regexp_replace(F.upper(v), r"\b(VESSEL|VOYAGE|VOY|VSL)\b", "")
+    return F.regexp_replace(F.regexp_replace(bare, "船名|航次", ""), "[^A-Z0-9]", "")
+
+
+def version_key(v: Column) -> Column:
+    """A version as arrays that sort as versions do: numbers (three at least), 1 for a release or 0 before it, its numbers."""
+    clean = F.regexp_replace(F.trim(v), "^[vV]", "")
+    main, before = F.substring_index(clean, "-", 1), F.when(F.contains(clean, F.lit("-")), F.regexp_replace(clean, "^[^-]*-", ""))
+    chunks = F.filter(F.split(main, r"\."), lambda x: x != "")
+    numbers = F.transform(chunks, lambda x: F.coalesce(F.nullif(F.regexp_replace(x, "[^0-9]", ""), F.lit("")), F.lit("0")).cast("int"))
+    full = F.concat(numbers, F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(3) - F.size(numbers))))
+    rank = F.when(before.isNull(), 1).otherwise(0)
+    return F.struct(full.alias("numbers"), rank.alias("rank"), F.when(before.isNull(), F.array().cast("array<int>")).otherwise(F.transform(F.regexp_extract_all(before, F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("int"))).alias("before"))

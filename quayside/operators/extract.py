@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -10,55 +9,55 @@ from pyspark.sql import functions as F
 
 #: The words that name a field, in the order in which they are tried. A user's own table may take their place.
 ALIASES: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("quantity", ("qty", "quantity", "pcs")),
-    ("package_count", ("packages", "package", "carton", "ctn")),
-    ("unit", ("unit", "uom")),
-    ("item_no", ("item", "item no", "part no")),
-    ("description", ("description", "goods", "commodity")),
-    ("gross_weight", ("gross weight", "g w", "gw")),
-    ("net_weight", ("net weight", "n w", "nw")),
-    ("amount", ("amount", "total amount", "total", "value")),
-    ("currency", ("currency",)),
-    ("hs_code", ("hs code", "hscode", "tariff")),
-    ("port", ("port", "discharge port", "loading port")),
-    ("container_no", ("container", "container no", "cntr no")),
-    ("seal_no", ("seal", "seal no")),
-    ("vessel_voyage", ("vessel voyage", "vessel/voyage", "vessel", "voyage")),
-    ("vessel", ("vessel", "vessel name")),
-    ("voyage", ("voyage", "voy")),
-    ("booking_no", ("booking no", "booking number", "booking#")),
-    ("shipping_order_no", ("s/o no", "so no", "shipping order no", "s/o")),
-    ("declaration_no", ("declaration no", "entry no")),
-    ("invoice_no", ("invoice no", "invoice number", "inv no")),
-    ("bl_no", ("b/l no", "bl no", "bill of lading no")),
-    ("pol", ("pol", "port of loading", "loading port")),
-    ("pod", ("pod", "port of discharge", "discharge port")),
-    ("etd", ("etd", "estimated time of departure")),
-    ("eta", ("eta", "estimated time of arrival")),
-    ("cbm", ("cbm", "measurement", "m3")),
-    ("carrier", ("carrier", "shipping line")),
-    ("forwarder", ("forwarder", "forwarding agent")),
-    ("notify", ("notify", "notify party")),
-    ("origin", ("origin", "country of origin")),
-    ("customer", ("customer", "buyer")),
-    ("supplier", ("supplier", "vendor", "shipper")),
-    ("incoterm", ("incoterm", "trade term")),
-    ("cif", ("cif", "cif value", "cif amount")),
-    ("fob", ("fob", "fob value", "fob amount")),
-    ("freight", ("freight", "ocean freight")),
-    ("insurance", ("insurance", "ins")),
-    ("exchange_rate", ("exchange rate", "ex rate", "rate")),
-    ("statistical_method", ("statistical method", "stat method")),
-    ("duty_rate", ("duty rate", "tax rate", "tariff rate")),
-    ("duty_amount", ("duty", "tax", "duty amount")),
-    ("customs_value", ("customs value", "dutiable value")),
-    ("trade_promotion_fee", ("trade promotion fee",)),
-    ("business_tax", ("business tax", "vat")),
-    ("import_regulation", ("import regulation", "import requirements")),
-    ("mp1", ("mp1", "mp 1", "mp-1")),
-    ("bsmi", ("bsmi",)),
-    ("commodity_inspection", ("commodity inspection", "inspection")),
-    ("closing_date", ("closing date", "cut off", "cutoff")),
+    ("quantity", ("qty", "quantity", "pcs", "數量")),
+    ("package_count", ("packages", "package", "carton", "ctn", "件數", "箱數")),
+    ("unit", ("unit", "uom", "單位")),
+    ("item_no", ("item", "item no", "part no", "品號", "料號")),
+    ("description", ("description", "goods", "commodity", "品名", "貨名")),
+    ("gross_weight", ("gross weight", "g w", "gw", "毛重")),
+    ("net_weight", ("net weight", "n w", "nw", "淨重")),
+    ("amount", ("amount", "total amount", "total", "value", "金額")),
+    ("currency", ("currency", "幣別")),
+    ("hs_code", ("hs code", "hscode", "tariff", "稅則", "稅則號別")),
+    ("port", ("port", "discharge port", "loading port", "港口", "卸貨港", "裝貨港")),
+    ("container_no", ("container", "container no", "cntr no", "櫃號", "貨櫃號碼")),
+    ("seal_no", ("seal", "seal no", "封條", "封條號碼")),
+    ("vessel_voyage", ("vessel voyage", "vessel/voyage", "vessel", "voyage", "船名航次")),
+    ("vessel", ("vessel", "vessel name", "船名")),
+    ("voyage", ("voyage", "voy", "航次")),
+    ("booking_no", ("booking no", "booking number", "booking#", "定倉號碼", "訂艙號碼")),
+    ("shipping_order_no", ("s/o no", "so no", "shipping order no", "s/o", "裝貨單號")),
+    ("declaration_no", ("declaration no", "entry no", "報單號碼", "報單號別")),
+    ("invoice_no", ("invoice no", "invoice number", "inv no", "發票號碼", "發票編號")),
+    ("bl_no", ("b/l no", "bl no", "bill of lading no", "提單號碼")),
+    ("pol", ("pol", "port of loading", "loading port", "起運港", "裝貨港")),
+    ("pod", ("pod", "port of discharge", "discharge port", "目的港", "卸貨港")),
+    ("etd", ("etd", "estimated time of departure", "開航日")),
+    ("eta", ("eta", "estimated time of arrival", "到港日")),
+    ("cbm", ("cbm", "measurement", "m3", "材積")),
+    ("carrier", ("carrier", "shipping line", "船公司")),
+    ("forwarder", ("forwarder", "forwarding agent", "承攬", "貨代")),
+    ("notify", ("notify", "notify party", "通知人")),
+    ("origin", ("origin", "country of origin", "產地")),
+    ("customer", ("customer", "buyer", "客戶", "買方")),
+    ("supplier", ("supplier", "vendor", "shipper", "供應商", "賣方")),
+    ("incoterm", ("incoterm", "trade term", "貿易條件", "交易條件")),
+    ("cif", ("cif", "cif value", "cif amount", "完稅價格")),
+    ("fob", ("fob", "fob value", "fob amount", "離岸價格")),
+    ("freight", ("freight", "ocean freight", "運費")),
+    ("insurance", ("insurance", "ins", "保費", "保險費")),
+    ("exchange_rate", ("exchange rate", "ex rate", "rate", "匯率")),
+    ("statistical_method", ("statistical method", "stat method", "統計方式", "統計單位")),
+    ("duty_rate", ("duty rate", "tax rate", "tariff rate", "稅率")),
+    ("duty_amount", ("duty", "tax", "duty amount", "稅額", "進口稅")),
+    ("customs_value", ("customs value", "dutiable value", "完稅價格", "完稅價值", "海關完稅價格")),
+    ("trade_promotion_fee", ("trade promotion fee", "推貿費", "推廣貿易服務費")),
+    ("business_tax", ("business tax", "vat", "營業稅", "加值稅")),
+    ("import_regulation", ("import regulation", "import requirements", "輸入規定", "輸入規定代號")),
+    ("mp1", ("mp1", "mp 1", "mp-1", "mp1 規定")),
+    ("bsmi", ("bsmi", "商品檢驗", "標準檢驗局", "商檢局")),
+    ("commodity_inspection", ("commodity inspection", "inspection", "商檢", "檢驗方式", "商品檢驗")),
+    ("closing_date", ("closing date", "cut off", "cutoff", "結關日")),
 )
 #: Identifiers by their look, in the order in which they are tried.
 IDENTIFIERS: tuple[tuple[str, str], ...] = (
@@ -69,8 +68,8 @@ IDENTIFIERS: tuple[tuple[str, str], ...] = (
     ("shipping_order_no", r"\b(?:s/o|so|shipping order)\s*(?:no\.?|number|#)?\s*[:\-]?\s*([A-Z0-9\-\/]+)"),
     ("container_no", r"\b([A-Z]{4}\s*\d{7})\b"),
     ("incoterm", r"\b(FOB|CIF|CFR|CNF|EXW|DAP|DDP)\b"),
-    ("exchange_rate", r"(?:exchange\s*rate|ex\s*rate)\s*:?\s*([0-9]+(?:\.[0-9]+)?)"),
-    ("hs_code", r"\b(?:hs\s*code|hscode|tariff)\s*:?\s*([0-9.\-]{6,14})"),
+    ("exchange_rate", r"(?:exchange\s*rate|ex\s*rate|匯率)\s*[:：]?\s*([0-9]+(?:\.[0-9]+)?)"),
+    ("hs_code", r"(?:\b(?:hs\s*code|hscode|tariff)|稅則(?:號別)?)\s*[:：]?\s*([0-9.\-]{6,14})"),
     ("seal_no", r"\b(?:seal)\s*(?:no\.?|number|#)?\s*[:\-]?\s*([A-Z0-9\-\/]+)"),
 )
 NOT_WORD = r"[^0-9a-zA-Z一-鿿]+"
@@ -80,26 +79,25 @@ def plain_words(v: str) -> str:
     return re.sub(NOT_WORD, " ", v).strip().lower()
 
 
-def alias_table(aliases: tuple[tuple[str, tuple[str, ...]], ...] = ALIASES) -> Column:
-    """An array of (canonical, alias, words), in the order in which they are tried."""
-    rows = [{"canonical": c, "alias": a, "words": plain_words(a)} for c, names in aliases for a in names]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<canonical:string,alias:string,words:string>>")
+def constant(values: list[str]) -> Column:
+    """An array of texts that is folded before the first row and costs one literal in the plan."""
+    return F.split(F.lit("\n".join(values)), "\n")
 
 
-def by_length(aliases: tuple[tuple[str, tuple[str, ...]], ...] = ALIASES) -> Column:
-    """The same, the longest first; equally long ones stay in order."""
-    rows = sorted(({"canonical": c, "alias": a, "words": plain_words(a)} for c, names in aliases for a in names if plain_words(a)), key=lambda r: -len(r["words"]))
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<canonical:string,alias:string,words:string>>")
+def field_of(name: Column, rows: list[tuple[str, str]]) -> Column:
+    """The first field (canonical, name) of this name, or null."""
+    return F.get(constant([c for c, _ in rows]), (F.array_position(constant([n for _, n in rows]), name) - 1).cast("int"))
 
 
 def label_words(v: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(v, NOT_WORD, " ")))
 
 
-def map_label(words: Column, table: Column) -> Column:
-    """The field that a label's words (label_words) name: an equal name, else the longest name that they hold; the first listed wins ties. table: by_length()."""
-    equal = F.get(F.filter(table, lambda a: a["words"] == words), F.lit(0))["canonical"]
-    return F.coalesce(equal, F.get(F.filter(table, lambda a: F.contains(words, a["words"])), F.lit(0))["canonical"])
+def map_label(words: Column, aliases: tuple[tuple[str, tuple[str, ...]], ...] = ALIASES) -> Column:
+    """The field that a label's words (label_words) name: an equal name, else the longest name that they hold; the first listed wins ties."""
+    rows = [(c, plain_words(a)) for c, names in aliases for a in names if plain_words(a)]
+    longest = constant(sorted((n for _, n in rows), key=lambda n: -len(n)))
+    return F.coalesce(field_of(words, rows), field_of(F.get(F.filter(longest, lambda n: F.contains(words, n)), F.lit(0)), rows))
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -109,7 +107,7 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def parse_lines(rows: DataFrame, aliases: tuple[tuple[str, tuple[str, ...]], ...] = ALIASES) -> DataFrame:
     """Of lines(): canonical, label, value, confidence where a field is found. A label and value, a field's name inside the line, or an identifier's look, in this order."""
-    raw, low, table = F.col("raw"), F.col("_low"), alias_table(aliases)
+    raw, low, names = F.col("raw"), F.col("_low"), [(c, a) for c, own in aliases for a in own]
     first = F.when(F.contains(raw, F.lit(":")), ":").when(F.contains(raw, F.lit("：")), "：").when(F.contains(raw, F.lit("\t")), "\t")
     at = F.coalesce(*(F.when(first == s, F.instr(raw, s)) for s in (":", "：", "\t")), F.lit(0))
     wide = r"^([A-Za-z一-鿿 ./_-]{2,35})\s{2,}(.+)$"
@@ -121,16 +119,16 @@ def parse_lines(rows: DataFrame, aliases: tuple[tuple[str, tuple[str, ...]], ...
         at = F.position(name, low)
         return F.btrim(F.concat(F.left(raw, at - 1), raw.substr(at + F.length(name), F.length(raw))), F.lit(" :-："))
 
-    inline = F.get(F.filter(table, lambda a: F.contains(low, a["alias"]) & (without(a["alias"]) != "")), F.lit(0))
+    inline = F.get(F.filter(constant([a for _, a in names]), lambda a: F.contains(low, a) & (without(a) != "")), F.lit(0))
     looks = F.coalesce(*(F.when(F.regexp_extract(raw, f"(?i){p}", 1) != "", F.struct(F.lit(c).alias("canonical"), F.regexp_extract(raw, f"(?i){p}", 1).alias("value"))) for c, p in IDENTIFIERS))
     kept = [c for c in rows.columns if c != "raw"]
     cut = rows.withColumn("_at", at).select(*kept, "raw", F.lower("raw").alias("_low"), label.alias("_label"), F.trim(value).alias("_value"))
     # words are used in two places and so computed once, not for each name that is tried
     cut = cut.withColumn("_words", label_words(F.col("_label")))
-    named = cut.withColumn("_name", map_label(F.col("_words"), by_length(aliases))).withColumn("_inline", F.when(F.col("_label").isNull(), inline))
+    named = cut.withColumn("_name", map_label(F.col("_words"), aliases)).withColumn("_inline", F.when(F.col("_label").isNull(), inline))
     named = named.withColumn("_looks", F.when(F.col("_name").isNull() & F.col("_inline").isNull(), looks))
     out = F.when(F.col("_name").isNotNull(), F.struct(F.col("_name").alias("canonical"), F.trim("_label").alias("label"), F.col("_value").alias("value"), F.lit(0.78).alias("confidence")))
-    out = out.when(F.col("_inline").isNotNull(), F.struct(F.col("_inline.canonical").alias("canonical"), F.col("_inline.alias").alias("label"), without(F.col("_inline.alias")).alias("value"), F.lit(0.62).alias("confidence")))
+    out = out.when(F.col("_inline").isNotNull(), F.struct(field_of(F.col("_inline"), names).alias("canonical"), F.col("_inline").alias("label"), without(F.col("_inline")).alias("value"), F.lit(0.62).alias("confidence")))
     out = out.when(F.col("_looks").isNotNull(), F.struct(F.col("_looks.canonical").alias("canonical"), F.col("_looks.canonical").alias("label"), F.trim("_looks.value").alias("value"), F.lit(0.72).alias("confidence")))
     # generated, so that a filter on the result doesn't repeat all of this below the projections
     return named.select(*kept, F.explode_outer(F.array(out)).alias("_f")).filter("_f IS NOT NULL").select(*kept, "_f.*")

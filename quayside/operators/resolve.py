@@ -29,12 +29,33 @@ def folded(v: Column) -> Column:
     return F.translate(v, "OIL", "011")
 
 
-def value_pairs(keys: DataFrame, least: float = 0.72) -> DataFrame:
-    """key, a, b (a < b), similarity of distinct values of a key that may be one: those that share their folded form, their last
-    six characters or all but their last two. Papers are not paired here, however many share a value: they belong to it."""
+def shortened(v: Column, most: int) -> Column:
+    """The texts that are left of v when up to `most` characters go."""
+    out = level = F.array(v)
+    for _ in range(most):
+        one = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.left(x, i - 1), x.substr(i + 1, F.length(x))))
+        level = F.array_distinct(F.flatten(F.transform(level, one)))
+        out = F.array_union(out, level)
+    return out
+
+
+def value_pairs(keys: DataFrame, least: float = 0.9, longest: int = 24) -> DataFrame:
+    """key, a, b (a < b), similarity of all pairs of distinct values of a key whose similarity is at least `least`.
+
+    Exact for values of up to `longest` characters: those that read alike share their folded form, and two that differ by e edits
+    share a text that is left of both when up to e characters go, e being what `least` allows for their length (a value within
+    the other differs by as many edits). Longer values meet by their folded form only. Papers are not paired here, however many
+    share a value: they belong to it. Blocks hold values of one shortened form: as many as the alphabet and places allow.
+    """
     v = F.col("value")
-    blocks = F.array_distinct(F.array(F.concat(F.lit("w"), folded(v)), F.concat(F.lit("e"), F.right(folded(v), F.lit(6))), F.concat(F.lit("b"), F.left(folded(v), F.length(v) - 2))))
-    each = keys.select("key", "value").distinct().filter(F.length("value") >= 6).select("key", "value", F.explode(blocks).alias("block"))
+    edits = (F.lit((1 - least) + 1e-9) * F.length(v)).cast("int")
+    most = int((1 - least + 1e-9) * longest)
+    cases = F.array(v)
+    for e in range(1, most + 1):
+        cases = F.when((edits >= e) & (F.length(v) <= longest), shortened(v, e)).otherwise(cases)
+    # each value allows the edits of its own length: a shorter partner needs fewer, as the longer one's insertions aren't its own
+    blocks = F.array_union(F.array(F.concat(F.lit("="), folded(v))), F.transform(cases, lambda x: F.concat(F.lit("-"), x)))
+    each = keys.select("key", "value").distinct().filter("value <> ''").select("key", "value", F.explode(blocks).alias("block"))
     a, b = each.withColumnRenamed("value", "a"), each.withColumnRenamed("value", "b")
     pairs = a.join(b, ["key", "block"]).filter("a < b").select("key", "a", "b").distinct()
     return pairs.withColumn("similarity", key_similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= least)
@@ -75,6 +96,8 @@ def links(keys: DataFrame, near: DataFrame, least: float = 0.6) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quayside-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -41,7 +41,7 @@ CURRENCY = f"replace(CASE WHEN regexp_extract(upper(value), '(?:^|[^A-Z0-9_])({C
 FIELDS = f"""{synthetic.SQL},
 lines AS (SELECT case_id, seg, doc_type, ord, trim(x) AS raw FROM (SELECT case_id, seg, doc_type, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM papers) WHERE trim(x) <> ''),
 aliases AS (SELECT * FROM {values([(i, c, a, extract.plain_words(a)) for i, (c, a) in enumerate((c, a) for c, names in extract.ALIASES for a in names)], 't(o, canonical, alias, words)')}),
-labels AS (SELECT DISTINCT split_part(raw, ':', 1) AS label, lower(trim(regexp_replace(split_part(raw, ':', 1), '[^0-9a-zA-Z]+', ' ', 'g'))) AS words FROM lines WHERE instr(raw, ':') > 1),
+labels AS (SELECT DISTINCT split_part(raw, ':', 1) AS label, lower(trim(regexp_replace(split_part(raw, ':', 1), '[^0-9a-zA-Z\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g'))) AS words FROM lines WHERE instr(raw, ':') > 1),
 named AS (SELECT label, a.canonical FROM labels l JOIN aliases a ON contains(l.words, a.words)
   QUALIFY row_number() OVER (PARTITION BY label ORDER BY (l.words = a.words) DESC, length(a.words) DESC, o) = 1),
 inside AS (SELECT case_id, seg, doc_type, ord, raw, canonical, alias, trim(left(raw, instr(lower(raw), alias) - 1) || substr(raw, instr(lower(raw), alias) + length(alias)), ' :-：') AS value
@@ -95,12 +95,14 @@ scores AS (SELECT case_id, seg, doc_type, o, candidate, CAST(sum(CASE WHEN conta
 
 
 def correction(prefix: str) -> str:
-    sql, last = "", prefix
+    """A column for each type that takes part; the scores are read once."""
+    names = list(dict.fromkeys(x for c in classify.CORRECTIONS for x in (c[0], c[2])))
+    sql = f""",\nc AS MATERIALIZED (SELECT case_id, seg, candidate, score, {', '.join(f"max(score) FILTER (WHERE candidate = '{n}') OVER (PARTITION BY case_id, seg) AS {n}" for n in names)} FROM {prefix})"""
+    last = "c"
     for i, (a, least, b, by) in enumerate(classify.CORRECTIONS):
-        sql += f""",\nc{i} AS (SELECT s.case_id, s.seg, s.candidate, CASE WHEN s.candidate = '{b}' AND t.score >= {least} THEN CAST(greatest(0, least(9.99, s.score + ({by}))) AS DECIMAL(9,2)) ELSE s.score END AS score
-  FROM {last} s LEFT JOIN {last} t ON t.case_id = s.case_id AND t.seg = s.seg AND t.candidate = '{a}')"""
+        sql += f",\nc{i} AS (SELECT * REPLACE (CASE WHEN {a} >= {least} THEN CAST(greatest(0, least(9.99, {b} + ({by}))) AS DECIMAL(9,2)) ELSE {b} END AS {b}) FROM {last})"
         last = f"c{i}"
-    return sql + f" SELECT * FROM {last}"
+    return sql + f" SELECT case_id, seg, candidate, CAST(CASE candidate {' '.join(f'WHEN {chr(39)}{n}{chr(39)} THEN {n}' for n in names)} ELSE score END AS DECIMAL(9,2)) AS score FROM {last}"
 
 
 KEYS = FIELDS + """,
@@ -187,11 +189,12 @@ def oracle_sql() -> dict[str, str]:
         "best_by_confidence": f"WITH {FIELDS} SELECT case_id, canonical, value FROM fields WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY case_id, canonical ORDER BY confidence DESC, seg, ord) = 1",
         "last_key": f"WITH {FIELDS} SELECT case_id, canonical, arg_max(value, seg) AS value FROM firsts GROUP BY 1, 2",
         "ordered_values": "WITH f AS (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS o FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY o, l_returnflag) AS r FROM f) SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY o, l_returnflag) AS flags FROM k WHERE r <= 2 GROUP BY 1",
-        "pair_scores": f"""WITH {KEYS}, v AS (SELECT DISTINCT key, value, translate(value, 'OIL', '011') AS f FROM keys WHERE key = 'bl_no' AND length(value) >= 6),
-b AS (SELECT key, value, 'w' || f AS block FROM v UNION SELECT key, value, 'e' || right(f, 6) FROM v UNION SELECT key, value, 'b' || left(f, length(value) - 2) FROM v),
+        "pair_scores": f"""WITH {KEYS}, v AS (SELECT DISTINCT key, value, translate(value, 'OIL', '011') AS f FROM keys WHERE value <> ''),
+b AS (SELECT key, value, '=' || f AS block FROM v UNION SELECT key, value, '-' || value FROM v UNION SELECT key, value, '-' || left(value, i - 1) || substr(value, i + 1) FROM (SELECT *, unnest(range(1, length(value) + 1)) AS i FROM v)),
 p AS (SELECT DISTINCT x.key, x.value AS a, y.value AS b FROM b x JOIN b y ON x.key = y.key AND x.block = y.block AND x.value < y.value),
-s AS (SELECT *, {similar('a', 'b')} AS similarity FROM p)
-SELECT key, a, b, CAST(similarity AS DECIMAL(9,4)) AS similarity, CAST(CASE WHEN similarity >= 1 THEN 0.95 WHEN similarity >= 0.88 THEN 0.95 * 0.92 ELSE 0.95 * 0.72 END AS DECIMAL(9,4)) AS score, CASE WHEN similarity >= 1 THEN 'exact_match' WHEN similarity >= 0.88 THEN 'high_confidence' ELSE 'partial_match' END AS label FROM s WHERE similarity >= 0.9""",
+s AS (SELECT *, {similar('a', 'b')} AS similarity, CASE key WHEN 'booking_no' THEN 1.0 WHEN 'bl_no' THEN 0.95 ELSE 0.9 END AS w FROM p),
+t AS (SELECT *, CASE WHEN similarity >= 1 THEN w WHEN similarity >= 0.88 THEN w * 0.92 ELSE w * 0.72 END AS score FROM s WHERE similarity >= 0.9)
+SELECT key, a, b, CAST(similarity AS DECIMAL(9,4)) AS similarity, CAST(score AS DECIMAL(9,4)) AS score, CASE WHEN score >= 0.95 THEN 'exact_match' WHEN score >= 0.8 THEN 'high_confidence' WHEN score >= 0.6 THEN 'partial_match' ELSE 'low_confidence' END AS label FROM t""",
         "anti_mix": f"WITH {KEYS}, p AS (SELECT n * 4 AS a, n * 4 + 1 AS b FROM figures UNION ALL SELECT n * 4, n * 4 + 5 FROM figures) SELECT DISTINCT a, b FROM p JOIN keys x ON x.seg_id = a JOIN keys y ON y.seg_id = b AND x.key = y.key WHERE {similar('x.value', 'y.value')} < 0.72",
         "case_components": f"""WITH RECURSIVE {KEYS}, v AS (SELECT DISTINCT seg_id, key, translate(value, 'OIL', '011') AS value FROM keys), e AS (SELECT DISTINCT x.seg_id AS a, y.seg_id AS b FROM v x JOIN v y ON x.key = y.key AND x.value = y.value),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a, min(b) AS root FROM r GROUP BY 1) SELECT root AS first_paper, count(*) AS n_papers FROM c GROUP BY 1""",
@@ -220,7 +223,7 @@ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS
 t AS (SELECT case_id, min(confidence) AS least, bool_or(doc_type = 'bill_of_lading') AS bl, bool_or(doc_type = 'declaration') AS de FROM sure GROUP BY 1), g AS (SELECT case_id, count(*) AS n_missing FROM gone GROUP BY 1), c AS (SELECT case_id, {STATUS} AS rs, count_if(status = 'MISMATCH') AS mm FROM results GROUP BY 1),
 s AS (SELECT t.case_id, rs, coalesce(mm, 0) AS mm, coalesce(n_missing, 0) AS nm, CASE WHEN least < 0.65 THEN 'NEEDS_HUMAN_REVIEW' WHEN NOT bl THEN 'WAITING_BL' WHEN NOT de THEN 'WAITING_DECLARATION' WHEN coalesce(n_missing, 0) > 0 THEN 'PARTIAL_DOCUMENTS' WHEN rs IS NULL THEN 'PENDING' WHEN rs = 'MATCH' THEN 'AUDIT_COMPLETED' WHEN rs = 'MISSING' THEN 'READY_FOR_AUDIT' ELSE 'NEEDS_HUMAN_REVIEW' END AS state FROM t LEFT JOIN g USING (case_id) LEFT JOIN c USING (case_id))
 SELECT case_id, state, state IN ('READY_FOR_AUDIT', 'AUDIT_COMPLETED') AND nm = 0 AND mm = 0 AND rs <> 'HIGH_RISK' AS can_declare, CASE WHEN rs IN ('HIGH_RISK', 'MISMATCH') THEN 'EXCEPTION' WHEN nm > 0 THEN 'MISSING_DOCUMENTS' ELSE 'COMPLETE' END AS case_status FROM s""",
-        "unresolved_keys": f"WITH {KEYS}, k AS (SELECT case_id, list(DISTINCT key) AS have, count(DISTINCT seg) AS n FROM keys WHERE case_id % 3 > 0 OR seg = 0 GROUP BY 1) SELECT case_id, array_to_string(list_concat(list_filter(['invoice_no', 'bl_no', 'booking_no', 'container_no'], lambda x: NOT list_contains(have, x)), CASE WHEN n = 1 THEN ['cross_document_match'] ELSE [] END), ',') AS unresolved FROM k",
+        "unresolved_keys": f"WITH {KEYS}, k AS (SELECT case_id, list(DISTINCT key) AS have, count(DISTINCT seg) AS n FROM keys GROUP BY 1) SELECT case_id, array_to_string(list_concat(list_filter(['invoice_no', 'bl_no', 'booking_no', 'container_no'], lambda x: NOT list_contains(have, x)), CASE WHEN n = 1 THEN ['cross_document_match'] ELSE [] END), ',') AS unresolved FROM k",
         "section_status": f"WITH {RESULTS} SELECT case_id, {section} AS section, CASE WHEN bool_or(status = 'MISMATCH') THEN 'issue' WHEN bool_or(status = 'MISSING' AND (n_papers > 0 OR hub_value IS NOT NULL)) THEN 'missing' WHEN bool_or(status = 'MATCH') THEN 'done' ELSE 'unchecked' END AS state FROM results WHERE {section} IS NOT NULL GROUP BY 1, 2",
         "pivot_compare": f"WITH {FIELDS} SELECT case_id, canonical AS field, {', '.join(f'max(value) FILTER (WHERE doc_type = {text(k)}) AS {k}' for k in KINDS)} FROM firsts GROUP BY 1, 2",
         "issue_filter": f"WITH {RESULTS} SELECT case_id, field, status FROM results WHERE status <> 'MATCH' AND contains(lower(case_id || ' ' || field || ' ' || status), 'weight')",

@@ -80,7 +80,7 @@ def line_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = extract.lines(synthetic.papers(spark, sf_dir)).filter(F.contains("raw", F.lit(":"))).select(F.substring_index("raw", ":", 1).alias("label"))
-    return labels.groupBy("label").agg(F.count("*").alias("n")).select("label", "n", extract.map_label(extract.label_words(F.col("label")), extract.by_length()).alias("canonical"))
+    return labels.groupBy("label").agg(F.count("*").alias("n")).select("label", "n", extract.map_label(extract.label_words(F.col("label"))).alias("canonical"))
 
 
 def first_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.fuzzy_terms(synthetic.papers(spark, sf_dir).filter("doc_type = 'bill_of_lading'").select(F.col("case_id").alias("doc_id"), F.translate("text", "I", "1").alias("text")), "doc_id", ["bill of lading", "arrival notice"])
+    return classify.fuzzy_terms(synthetic.papers(spark, sf_dir).select((F.col("case_id") * 4 + F.col("seg")).alias("doc_id"), F.translate("text", "I", "1").alias("text")), "doc_id", ["bill of lading", "commercial invoice", "packing list", "import declaration"])
 
 
 # runs and windows
@@ -151,7 +151,7 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = resolve.value_pairs(_keys(spark, sf_dir).filter("key = 'bl_no'"), 0.9)
+    near = resolve.value_pairs(_keys(spark, sf_dir), 0.9)
     return near.select("key", "a", "b", F.col("similarity").cast("decimal(9,4)").alias("similarity"), resolve.pair_score(F.col("key"), F.col("similarity")).cast("decimal(9,4)").alias("score"), resolve.confidence_label(resolve.pair_score(F.col("key"), F.col("similarity"))).alias("label"))
 
 
@@ -162,9 +162,10 @@ def anti_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers linked by equal or similar B/L, invoice, container and booking numbers: each component's papers and cases."""
-    keys = _keys(spark, sf_dir).withColumn("value", resolve.folded(F.col("value")))
-    found = resolve.components(resolve.links(keys, resolve.value_pairs(keys.limit(0)), 0.6)).filter("v LIKE 'p:%'")
+    """Papers linked by equal or similar B/L, invoice, container and booking numbers: each component's papers and cases. Similar: other
+    readings of ambiguous characters (.92), or one character in 13; numbers that are given out in a row are not."""
+    keys = _keys(spark, sf_dir)
+    found = resolve.components(resolve.links(keys, resolve.value_pairs(keys, 0.92), 0.6)).filter("v LIKE 'p:%'")
     return found.select(F.substring("v", 3, 20).cast("long").alias("seg_id"), "root").groupBy("root").agg(F.min("seg_id").alias("first_paper"), F.count("*").alias("n_papers")).select("first_paper", "n_papers")
 
 
@@ -308,7 +309,7 @@ def workflow_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unresolved_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.unresolved(_keys(spark, sf_dir).filter("case_id % 3 > 0 OR seg = 0"))
+    return state.unresolved(_keys(spark, sf_dir))
 
 
 def section_status(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each text has a title and lines `Label: value`. The declaration repeats the other papers' values; by the order's number modulo 7
 it has another currency (0), another unit word (1), no gross weight (2), one piece more (3), tons for kilograms (4), a wrong
-amount (5) or a misread B/L number (6).
+amount (5) or a misread B/L number (6). Some bills have no booking number, some declarations Chinese labels.
 """
 
 from __future__ import annotations
@@ -37,13 +37,13 @@ LAYERS = (FIGURES, DERIVED, TAXES, TAXES2, TAXES3)
 PAPERS = {
     "invoice": "concat('COMMERCIAL INVOICE\n', 'Invoice No: INV-', lpad(cast(n as string), 8, '0'), '\nBuyer: ', buyer, '\nAmount: USD ', cast(a as string), '\nQuantity: ', cast(q as string), ' PCS\nFOB: USD ', cast(a as string))",
     "packing_list": "concat('PACKING LIST\n', 'Invoice No: INV-', lpad(cast(n as string), 8, '0'), '\nQuantity: ', cast(q as string), ' PCE\nPackages: ', cast(p as string), ' CTN\nGross Weight: ', cast(gw as string), ' KGS\nNet Weight: ', cast(nw as string), ' KGS\nContainer No: ', box)",
-    "bill_of_lading": "concat('BILL OF LADING\n', 'B/L No: ', bl, '\nContainer No: ', box, '\nVessel Voyage: EVER ', cast(n % 50 as string), ' V. ', cast(n % 9 as string), 'W', '\nPackages: ', cast(p as string), ' CARTONS\nGross Weight: ', cast(gw as string), ' KG', '\nBooking number ', bl)",
+    "bill_of_lading": "concat('BILL OF LADING\n', 'B/L No: ', bl, '\nContainer No: ', box, '\nVessel Voyage: EVER ', cast(n % 50 as string), ' V. ', cast(n % 9 as string), 'W', '\nPackages: ', cast(p as string), ' CARTONS\nGross Weight: ', cast(gw as string), ' KG', case when n % 8 = 3 then '' else concat('\nBooking number ', bl) end)",
     "declaration": """concat('IMPORT DECLARATION\n', 'Declaration No: AA', lpad(cast(n as string), 10, '0'), '\nInvoice No: INV', lpad(cast(n as string), 8, '0'), '\nB/L No: ', case when m = 6 then replace(bl, '0', 'O') else bl end,
       '\nContainer No: ', box, '\nQuantity: ', cast(q + case when m = 3 then 1 else 0 end as string), ' PCS\nPackages: ', cast(p as string), case when m = 1 then ' PKG' else ' CTNS' end,
-      case when m = 2 then '' when m = 4 then concat('\nGross Weight: ', cast(cast(floor(gw / 1000) as bigint) as string), '.', lpad(cast(gw % 1000 as string), 3, '0'), ' MT') else concat('\nGross Weight: ', cast(gw as string), ' KGS') end,
+      case when m = 2 then '' when m = 1 then concat('\n毛重: ', cast(gw as string), ' KGS') when m = 4 then concat('\nGross Weight: ', cast(cast(floor(gw / 1000) as bigint) as string), '.', lpad(cast(gw % 1000 as string), 3, '0'), ' MT') else concat('\nGross Weight: ', cast(gw as string), ' KGS') end,
       '\nNet Weight: ', cast(nw as string), ' KGS\nAmount: ', case when m = 0 then 'EUR ' else 'USD ' end, cast(a + case when m = 5 then 5 else 0 end as string), '\nHS Code: 9403.60.90', cast(n % 10 as string), '\nFOB: USD ', cast(a as string),
       case when n % 17 = 4 then '' else concat('\nOcean Freight: USD ', cast(freight as string)) end, '\nInsurance: USD ', cast(insurance as string), '\nCIF: USD ', cast(cif as string), '\nExchange Rate: 31.5', case when n % 19 = 2 then '' else concat('\nCustoms Value: ', cast(cv as string)) end,
-      '\nTrade Promotion Fee: ', cast(fee as string), '\nDuty Amount: ', cast(duty as string), '\nBusiness Tax: ', cast(vat as string), case when n % 5 = 0 then '\nImport Regulation: MP1 C02' else '' end)""",
+      '\nTrade Promotion Fee: ', cast(fee as string), case when n % 6 = 4 then '\n稅額: ' else '\nDuty Amount: ' end, cast(duty as string), '\nBusiness Tax: ', cast(vat as string), case when n % 5 = 0 then '\nImport Regulation: MP1 C02' else '' end)""",
 }
 
 
@@ -66,7 +66,9 @@ def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_id, seg (0 to 3), doc_type, text."""
     each = F.array(*(F.struct(F.lit(i).alias("seg"), F.lit(k).alias("doc_type"), F.expr(v).alias("text")) for i, (k, v) in enumerate(PAPERS.items())))
-    return figures(spark, sf_dir).select(F.col("n").alias("case_id"), F.explode(each).alias("x")).select("case_id", "x.*")
+    # a row becomes some forty lines: figures are too small for Spark to split them by size
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return figures(spark, sf_dir).repartition(parts, "n").select(F.col("n").alias("case_id"), F.explode(each).alias("x")).select("case_id", "x.*")
 
 
 def _sql() -> str:

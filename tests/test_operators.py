@@ -108,3 +108,39 @@ def test_feedback(spark):
     clean = feedback.cleaned(df)
     assert [r.id for r in feedback.recent(clean, 2).collect()] == [3, 2]
     assert {r.error_type: r.n for r in feedback.statistics(clean).collect()} == {"correct": 1, "ocr": 1, "other": 1}
+
+
+def test_value_pairs_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    values = {"".join(rng.choice("AO01IL7") for _ in range(rng.randint(1, 22))) for _ in range(60)}
+    for v in list(values):
+        for _ in range(3):
+            i = rng.randrange(len(v))
+            values |= {v[:i] + v[i + 1 :], v[:i] + "X" + v[i:], v[:i] + "0" + v[i + 1 :], v.replace("O", "0")}
+    keys = spark.createDataFrame([("bl_no", v) for v in values if v], "key string, value string")
+    for least in (0.9, 0.92, 0.85):
+        got = {(r.a, r.b) for r in resolve.value_pairs(keys, least).collect()}
+        a, b = keys.select(F.col("value").alias("a")), keys.select(F.col("value").alias("b"))
+        want = a.join(b, F.col("a") < F.col("b")).filter(N.key_similarity(F.col("a"), F.col("b")) >= least)
+        assert got == {(r.a, r.b) for r in want.collect()}
+
+
+def test_chinese_labels(spark):
+    text = "進口報單\n稅額: 120\n毛重：5 KGS\n匯率 31.5\n件數　12"
+    got = extract.parse_lines(extract.lines(spark.createDataFrame([(1, text)], "id int, text string"))).orderBy("ord").collect()
+    assert [(r.canonical, r.value) for r in got][:3] == [("duty_amount", "120"), ("gross_weight", "5 KGS"), ("exchange_rate", "31.5")]
+
+
+def test_booking_and_guards(spark):
+    from quayside.operators import booking, checks, guards
+
+    text = "BOOKING CONFIRMATION\nBooking No: BK-77\nVessel: EVER ONE\nVoyage: 12W\nPOL: KAOHSIUNG\nETD: 2024-05-01\nConsignee: ACME"
+    r = booking.parse(spark.createDataFrame([(1, text), (2, "invoice")], "id int, text string"), ["id"]).collect()
+    assert len(r) == 1 and r[0].doc_type == "booking_confirmation" and r[0].missing == "pod,container_no" and r[0].fields["etd"] == "2024-05-01" and r[0].fields["customer"] == "ACME"
+    df = spark.createDataFrame([("invoice_no", "ABCD", False), ("invoice_no", "A123", True), ("container_no", "ABCU123", False), ("vessel_voyage", "VESSEL", False), ("amount", "12", True), ("eta", "TO", False)], "k string, v string, ok boolean")
+    assert all(x[0] == x[1] for x in df.select(guards.valid_key(F.col("k"), F.col("v")), "ok").collect())
+    v = spark.createDataFrame([("1.2.3", "1.2.3-rc1"), ("1.10", "1.9.9"), ("2.0.0-rc2", "2.0.0-rc1")], "a string, b string")
+    assert [x[0] for x in v.select(N.version_key(F.col("a")) > N.version_key(F.col("b"))).collect()] == [True] * 3
+    assert checks.top_errors(spark.createDataFrame([("a",), ("b",), ("b",)], "error_type string"), 1).first().error_type == "b"
