@@ -250,7 +250,7 @@ def marginals(feats: np.ndarray, edges: np.ndarray, w: np.ndarray, v: np.ndarray
 def all_spans(base: np.ndarray, spans: np.ndarray, feats: np.ndarray, edges: np.ndarray, w: np.ndarray, v: np.ndarray) -> list[tuple[int, int, int]]:
     """Patterns' spans and those of the field, by start and kind. A token that a pattern's span touches adds none; neighbours of a kind join."""
     out = [tuple(map(int, x)) for x in base]
-    if len(spans) and v.any():
+    if len(spans) and (w.any() or v.any()):
         p = marginals(feats, edges, w, v)
         label = np.where(p.max(1) > SURE, p.argmax(1), 0)
         if len(base):  # spans of the patterns, joined where they overlap

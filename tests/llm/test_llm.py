@@ -440,6 +440,89 @@ def test_components(spark):
     assert {found[i] for i in range(1, 71)} == {0} and found[201] == found[202] == 200
 
 
+def test_rows_that_share_a_key(spark):
+    """Each row is judged by its own text; names that operators use within don't clash."""
+    long = " ".join(f"word{i}" for i in range(60))
+    texts = ["released under the MIT license", "plain words only", long, "x"]
+    rows_ = [(1, texts[0], "en"), (1, texts[1], "en"), (None, texts[2], "en"), (None, texts[3], None)]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string, lang string").withColumns({c: F.lit(0) for c in ("k", "d", "th", "l", "hashed", "lost", "head", "own", "_k", "_gone", "_d", "n_deleted", "print")})
+    found = license_scan.scan(frame).toPandas()
+    assert sorted(zip(found.doc_id.fillna(-1), found.n_words, found.labels)) == [(-1, 1, ""), (-1, 60, ""), (1, 3, ""), (1, 5, "mit")]
+    spans = license_scan.detections(frame).toPandas()
+    assert set(spans.doc_id) == {1} and license_scan.detections(frame, []).count() == 0
+    assert sorted(r.text for r in quality.good(frame).collect()) == [long]
+    assert sorted(r.text for r in simhash.keep_one(frame).collect()) == sorted(texts) and simhash.keep_one(frame).columns == frame.columns
+    assert sorted(r.text for r in line_dedup.deduped(frame).collect()) == sorted(texts)
+    bench = spark.createDataFrame([(1, "plain words only")], "item_id long, text string")
+    assert sorted(r.text for r in decontaminate.clean(frame, bench).collect()) == sorted([texts[0], long, "x"])
+
+
+def test_pii_long_runs():
+    """A million zeros or letters take no longer than their length asks for."""
+    assert pii.base_spans("0" * 1_000_000 + ".1.1.1") == [(0, 1, 1_000_006)]
+    assert pii.base_spans("9" * 1_000_000 + ".1.1.1") == []
+    assert pii.base_spans("a" * 1_000_000 + "@b.c") == [(0, 0, 1_000_004)]
+    assert len(pii.candidates("0" * 1_000_000 + " x@y")[0]) == 2
+
+
+def test_pii_emails_as_the_pattern():
+    import random
+
+    rng, pattern = random.Random(1), re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    for _ in range(5000):
+        t = "".join(rng.choice("ab.@-_ 1.@b") for _ in range(rng.randint(1, 24)))
+        assert pii.emails(t) == [m.span() for m in pattern.finditer(t)]
+
+
+def test_pii_marginals_exact_on_a_tree():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    k = len(pii.LABELS) + 1
+    w, v = rng.normal(size=(pii.N_FEATURES, k)), rng.normal(size=(2, k, k))
+    v = v + v.transpose(0, 2, 1)
+    feats, edges = np.array([1, 3, 5, 9]), np.array([[0, 1, 0], [1, 2, 1], [1, 3, 1]])
+    node = pii.unpacked(feats) @ w
+    total = np.zeros((4, k))
+    for y in product(range(k), repeat=4):
+        p = np.exp(sum(node[i, y[i]] for i in range(4)) + sum(v[t, y[a], y[b]] for a, b, t in edges))
+        for i in range(4):
+            total[i, y[i]] += p
+    assert np.allclose(pii.marginals(feats, edges, w, v), total / total.sum(1, keepdims=True), atol=2e-3)
+
+
+def test_pii_secrets(spark):
+    texts = [f"text {i} token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" end" for i in range(60)] + [f"page {i} of the book" for i in range(60)]
+    found = got(pii.find(table(spark, texts)))
+    kinds = [{x.kind for x in found.loc[i].spans} for i in range(120)]
+    assert kinds[:60] == [{"secret"}] * 60 and kinds[60:] == [set()] * 60
+
+
+def test_links_of_split_tries(spark):
+    rng = np.random.default_rng(2)
+    codes = np.unique(np.uint64(7) ^ (rng.integers(0, 1 << 20, 300, dtype=np.uint64) << np.uint64(30)))
+    frame = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    whole, split = (simhash.components(simhash.links(frame, hot=n)).toPandas() for n in (1 << 16, 8))
+    assert dict(zip(whole.v, whole.root)) == dict(zip(split.v, split.root))
+
+
+def test_alignments_by_convolution():
+    rng = np.random.default_rng(4)
+    pairs = [(np.unique(rng.integers(0, 400, 150)), np.unique(rng.integers(0, 900, 300))) for _ in range(3)]
+    shifts, n = decontaminate.alignments(pairs)
+    old, decontaminate.PAIRS = decontaminate.PAIRS, 10
+    try:
+        again = decontaminate.alignments(pairs)
+    finally:
+        decontaminate.PAIRS = old
+    want = Counter(int(b) - int(a) for i, d in pairs for a in i for b in d)
+    assert dict(zip(shifts.tolist(), n.tolist())) == want and (again[0] == shifts).all() and (again[1] == n).all()
+
+
+def test_sampling_empty_table(spark, odd):
+    assert sp_sampling.sample(odd.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
