@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.functions import normalize as N
-from quayside.operators import booking, checks, guards, resolve
+from quayside.operators import booking, checks, guards, profiles, resolve
 from quayside.plans import queries as Q
 from quayside.sources import synthetic
 
@@ -22,6 +22,13 @@ TYPES = {
 }
 
 
+#: Papers with other titles by the order's number, and their file names; expressions that Spark and DuckDB read alike.
+RETITLED = {
+    "text": "CASE case_id % 7 WHEN 1 THEN replace(text, 'BILL OF LADING', concat('DELIVERY ORDER', chr(10), 'D/O No: 5')) WHEN 2 THEN replace(text, 'BILL OF LADING', concat('ARRIVAL NOTICE', chr(10), 'Free time: 7 days', chr(10), 'ETA: 5')) WHEN 3 THEN replace(text, 'BILL OF LADING', concat('CARGO MANIFEST', chr(10), 'Manifest No: 9')) WHEN 4 THEN replace(text, 'IMPORT DECLARATION', 'INVOICE') WHEN 5 THEN CASE seg WHEN 3 THEN '' WHEN 2 THEN 'stamped' ELSE concat(text, chr(10), '艙單號碼: 8', chr(10), '■■ | a | 1.50 | 3 KGS') END ELSE text END",
+    "file": "CASE WHEN seg % 2 = 0 THEN concat(doc_type, '.txt') ELSE '' END",
+}
+
+
 def vessel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = N.vessel_parts(F.col("value"))
     return Q._values(spark, sf_dir, "vessel_voyage").select("case_id", parts["vessel"].alias("vessel"), parts["voyage"].alias("voyage"), N.report_vessel(F.concat(F.lit("Vessel "), "value")).alias("bare"))
@@ -160,12 +167,37 @@ def group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.group_scores(pairs, "case_id").select("case_id", F.col("score").cast("decimal(9,2)").alias("score"), "reasons")
 
 
+def retitled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.papers(spark, sf_dir).select("case_id", "seg", *(F.expr(x).alias(k) for k, x in RETITLED.items()))
+
+
+def text_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profiles.shapes(retitled(spark, sf_dir), ["case_id", "seg"])
+    return found.select("case_id", "seg", F.md5("header").alias("header"), *(F.col(k).cast("long").alias(k) for k in ("lines", "kv", "tables", "digits", "chars", "money", "weights", "boxes", "noise")), F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def identity_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profiles.shapes(retitled(spark, sf_dir), ["case_id", "seg"])
+    return found.select("case_id", "seg", *(v.alias(k) for k, v in profiles.identities(F.col("normal"), F.col("header")).items()))
+
+
+def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profiles.profile_scores(retitled(spark, sf_dir), ["case_id", "seg"], name=F.col("file"))
+    return found.select("case_id", "seg", "candidate", F.col("score").cast("long").alias("score"), F.array_join("evidence", ",").alias("evidence"))
+
+
+def profile_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = retitled(spark, sf_dir)
+    found = profiles.corrected(profiles.profile_scores(docs, ["case_id", "seg"], name=F.col("file")), docs, ["case_id", "seg"])
+    return found.withColumn("place", F.col("place").cast("long"))
+
+
 def queries() -> dict[str, Q.Query]:
     return {
         f.__name__: f
         for f in (
             vessel_split, vessel_pending, version_order, valid_keys, source_hints, paper_bridges, booking_fields, parser_choice, reconciled_types, high_risk_warnings, warned_status, formal_compare,
             declaration_totals, exact_values, weight_check, found_documents, effective_missing, shipment_slots, values_by_field, unit_aliases, status_labels, fixed_freight, feedback_fanout, top_errors,
-            shipment_keys, group_scores,
+            shipment_keys, group_scores, text_shapes, identity_tests, profile_scores, profile_candidates,
         )
     }

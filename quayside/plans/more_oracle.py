@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from quayside.functions import normalize as N
-from quayside.operators import booking, checks, guards
-from quayside.plans.more import COMPARED, DECLARED, STEMS, TYPES
+from quayside.operators import booking, checks, guards, profiles
+from quayside.plans.more import COMPARED, DECLARED, RETITLED, STEMS, TYPES
 from quayside.plans.oracle import FIELDS, KEYS, OPTIONAL, RESULTS, RISKY, SURE, WIDE, number, similar, text
 from quayside.plans.queries import KINDS
 from quayside.sources import synthetic
@@ -67,6 +67,92 @@ SUMS = listed(checks.SUMS)
 UNITS = "(VALUES " + ", ".join(f"({text(a)}, {text(b)})" for a, b in {**N.PACKAGE_UNITS, **{b: b for b in N.PACKAGE_UNITS.values()}}.items()) + ") AS u(a, b)"
 
 
+NORMAL_TEXT = "trim(regexp_replace(lower(translate({v}, '：﹕／', '::/')), '\\s+', ' ', 'g'))"
+
+
+def counted(pattern: str) -> str:
+    return f"len(regexp_extract_all(normal, {text(pattern)}))"
+
+
+def with_terms(v: str, terms: tuple[str, ...]) -> str:
+    return f"list_filter([{', '.join(map(text, terms))}]::VARCHAR[], lambda x: contains({v}, x))"
+
+
+def says(v: str, terms: tuple[str, ...], word: bool = False) -> str:
+    return f"(len({with_terms(v, terms)}) > 0" + (f" OR regexp_matches({v}, {text(profiles.DELIVERY_WORD)}))" if word else ")")
+
+
+IDENTITIES = {f"says_{k}": says("normal", v, k == "delivery_order") for k, v in profiles.SAYS.items()} | {f"titled_{k}": says("header", v, k == "delivery_order") for k, v in profiles.TITLED.items()}
+GROUPS_SAID = " + ".join(f"CAST({says('normal', v)} AS INT)" for v in profiles.SUPPORT.values())
+TERMS_SAID = " + ".join(f"len({with_terms('normal', v)})" for v in profiles.SUPPORT.values())
+SHAPES = f"""{synthetic.SQL},
+given AS (SELECT case_id, seg, {', '.join(f'{x} AS {k}' for k, x in RETITLED.items())} FROM papers),
+normals AS (SELECT case_id, seg, {NORMAL_TEXT.format(v='text')} AS normal, {NORMAL_TEXT.format(v='file')} AS file, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: {NORMAL_TEXT.format(v='x')}) AS ls FROM given),
+shapes AS MATERIALIZED (SELECT case_id, seg, normal, array_to_string(list_slice(ls, 1, {profiles.HEADER_LINES}), ' ') AS header, file, len(ls) AS lines, len(list_filter(ls, lambda x: regexp_matches(x, {text(profiles.KEY_VALUE)}))) AS kv, len(list_filter(ls, lambda x: regexp_matches(x, {text(profiles.ROW)}))) AS tables,
+  {counted('[0-9]')} AS digits, length(normal) AS chars, {counted(profiles.MONEY)} AS money, {counted(profiles.WEIGHT)} AS weights, {counted(profiles.BOX)} AS boxes, {counted('[' + profiles.NOISE + ']')} AS noise, list_distinct(regexp_extract_all(normal, {text(profiles.TOKEN)})) AS tokens FROM normals)"""
+
+
+def profile_sql(at: int) -> str:
+    kind, least, groups = profiles.PROFILES[at]
+    share = lambda a, b, n: f"{a} * 100 >= greatest({b}, 1) * {n}"
+    top = with_terms("header", groups.get("layout", ()))
+    own = {g: with_terms("normal", groups.get(g, ())) for g in profiles.GROUPS}
+    own["layout"] = f"CASE WHEN len({top}) > 0 THEN {top} ELSE {own['layout']} END"
+    own["identifier"] = f"list_filter([{', '.join(f'CASE WHEN regexp_matches(normal, {text(p)}) THEN {text(p)} END' for p in groups.get('identifier', ()))}]::VARCHAR[], lambda x: x IS NOT NULL)"
+    parts = [f"least({most}, {each} * len({own[g]}){f' + CASE WHEN len({own[g]}) > 0 AND tables * 100 > greatest(lines, 1) * 18 THEN 50 ELSE 0 END' if g == 'table' else ''})" for g, (each, most) in profiles.GROUPS.items()]
+    shape = [f"CASE WHEN {share('kv', 'lines', 16)} THEN 50 ELSE 0 END", f"CASE WHEN {share('tables', 'lines', 18)} THEN 50 ELSE 0 END"]
+    shape += ["least(80, 25 * money)"] if kind == "invoice" else ["least(100, 30 * weights)"] if kind == "packing_list" else []
+    shape += ["CASE WHEN boxes > 0 THEN 60 ELSE 0 END"] if kind in profiles.BOXED else []
+    shape += [f"CASE WHEN {share('digits', 'chars', 12)} THEN 80 ELSE 0 END"] if kind in profiles.NUMBERED else []
+    hinted = f"(file <> '' AND {says('file', profiles.FILE_HINTS.get(kind, ()))})"
+    parts += [f"least(160, {' + '.join(shape)})", f"CASE WHEN {hinted} THEN 60 ELSE 0 END"]
+    if kind == "declaration":
+        evidence = f"len(list_distinct({own['fields']} || {own['customs']} || {own['table']} || {own['identifier']}))"
+        parts.append(f"CASE WHEN {evidence} >= 4 THEN 120 WHEN {evidence} >= 2 AND {share('digits', 'chars', 10)} THEN 100 WHEN {says('normal', profiles.CORE)} THEN 180 ELSE 0 END")
+        parts.append(f"CASE WHEN {GROUPS_SAID} >= 3 THEN 240 WHEN {GROUPS_SAID} >= 2 THEN 200 WHEN {TERMS_SAID} >= 3 AND {share('digits', 'chars', 8)} THEN 100 ELSE 0 END")
+    words = profiles.anchors(groups)
+    total = f"{' + '.join(parts)} + least(120.0::DOUBLE, len(list_filter([{', '.join(map(text, words))}], lambda x: list_contains(tokens, x))) * 220.0::DOUBLE / {len(words)}) - least(120.0::DOUBLE, noise * 120.0::DOUBLE / greatest(chars, 1))"
+    score = f"greatest(0, least(98, CAST(round(CAST(({total}) / 10 AS DECIMAL(12,6)), 0) AS INT)))"
+    if kind == "declaration":
+        score = f"CASE WHEN {IDENTITIES['says_declaration']} THEN {score} ELSE least({score}, CASE WHEN len({with_terms('normal', profiles.CAP_FIELDS)}) >= 7 THEN 76 ELSE 74 END) END"
+    said = " || ".join(f"{x}[:{n}]" for x, n in ((f"({top})", 3), (f"({own['fields']})", 5), (f"({own['customs']})", 4), (f"({own['shipping']})", 4), (f"({own['fingerprint']})", 3))) + f" || CASE WHEN {hinted} THEN ['file name: ' || file] ELSE [] END"
+    return f"SELECT case_id, seg, {at} AS ord, '{kind}' AS candidate, {score} AS score, {said} AS said FROM shapes WHERE {score} >= {least}"
+
+
+PROFILED = f"""{SHAPES},
+profiled AS MATERIALIZED ({' UNION ALL '.join(map(profile_sql, range(len(profiles.PROFILES))))})"""
+
+
+def corrected_sql() -> str:
+    names = [t for t, _, _ in profiles.PROFILES]
+    weak_bl = "NOT says_bill_of_lading"
+    packing = "packing_list IS NOT NULL AND contains(normal, 'packing list')"
+    arrival = f"arrival_notice IS NOT NULL AND says_arrival_notice AND bill_of_lading IS NOT NULL AND {weak_bl}"
+    delivery = "delivery_order IS NOT NULL AND says_delivery_order AND NOT says_arrival_notice"
+    manifest = "manifest IS NOT NULL AND says_manifest AND NOT titled_bill_of_lading"
+    steps = {
+        "packing_list": [f"CASE WHEN {packing} THEN 14 ELSE 0 END"],
+        "declaration": [f"CASE WHEN NOT says_declaration AND {GROUPS_SAID} < 2 THEN CASE WHEN invoice IS NOT NULL THEN -55 ELSE -12 END ELSE 0 END"],
+        "arrival_notice": [f"CASE WHEN {arrival} THEN 12 ELSE 0 END"],
+        "delivery_order": [f"CASE WHEN {delivery} THEN CASE WHEN titled_delivery_order THEN 28 ELSE 10 END ELSE 0 END"],
+        "manifest": [f"CASE WHEN {delivery} THEN CASE WHEN titled_delivery_order THEN -12 ELSE -8 END ELSE 0 END", f"CASE WHEN {manifest} THEN 10 ELSE 0 END"],
+        "bill_of_lading": [f"CASE WHEN {packing} AND {weak_bl} THEN -10 ELSE 0 END", f"CASE WHEN {arrival} THEN -8 ELSE 0 END", f"CASE WHEN {delivery} THEN CASE WHEN {weak_bl} THEN -8 WHEN titled_delivery_order THEN -18 ELSE 0 END ELSE 0 END", f"CASE WHEN {manifest} THEN CASE WHEN {weak_bl} THEN -6 ELSE -12 END ELSE 0 END"],
+    }
+
+    def final(t: str) -> str:
+        out = t
+        for x in steps.get(t, []):
+            out = f"greatest(0, least(98, {out} + {x}))"
+        return f"CASE WHEN {t} IS NOT NULL THEN {out} END"
+
+    each = " UNION ALL ".join(f"SELECT case_id, seg, {i} AS ord, '{t}' AS candidate, {final(t)} AS score FROM held" for i, t in enumerate(names))
+    return f"""WITH {PROFILED}, wide AS (SELECT case_id, seg, {', '.join(f"max(score) FILTER (WHERE candidate = '{t}') AS {t}" for t in names)} FROM profiled GROUP BY 1, 2),
+held AS MATERIALIZED (SELECT s.*, {', '.join(f'{v} AS {k}' for k, v in IDENTITIES.items())}, wide.* EXCLUDE (case_id, seg) FROM shapes s LEFT JOIN wide USING (case_id, seg) WHERE normal <> ''),
+c AS (SELECT * FROM ({each}) WHERE score >= CASE WHEN candidate = 'declaration' THEN 30 ELSE 0 END),
+r AS (SELECT case_id, seg, candidate, score, ord FROM c UNION ALL SELECT case_id, seg, 'unknown', {profiles.UNKNOWN}, 99 FROM held WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.case_id = held.case_id AND c.seg = held.seg))
+SELECT case_id, seg, candidate, CAST(score / 100.0 AS DECIMAL(4,2)) AS score, score >= {profiles.SURE} AS sure, row_number() OVER (PARTITION BY case_id, seg ORDER BY score DESC, ord) AS place FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     figures = f"WITH {synthetic.SQL} "
     ship = f"WITH {FIELDS}, ship AS (SELECT case_id, value FROM firsts WHERE canonical = 'vessel_voyage')"
@@ -108,6 +194,10 @@ SELECT case_id, field, CASE WHEN ok THEN 'MATCH' ELSE 'MISMATCH' END AS status F
         "feedback_fanout": f"SELECT event_id, unnest({FANOUT}) AS error_type FROM events",
         "top_errors": f"SELECT error_type, count(*) AS n FROM (SELECT unnest({FANOUT}) AS error_type FROM events) GROUP BY 1 ORDER BY n DESC, error_type LIMIT 5",
         "shipment_keys": f"WITH {KEYS}, m AS (SELECT case_id, {', '.join(f'arg_min(value, seg) FILTER (WHERE key = {text(k)}) AS {k}' for k in FOUR)} FROM keys WHERE value <> '' GROUP BY 1) SELECT case_id, booking_no, bl_no, invoice_no, container_no, coalesce(booking_no, bl_no, invoice_no, container_no) AS label FROM m",
+        "text_shapes": f"WITH {SHAPES} SELECT case_id, seg, md5(header) AS header, lines, kv, tables, digits, chars, money, weights, boxes, noise, len(tokens) AS n_tokens FROM shapes",
+        "identity_tests": f"WITH {SHAPES} SELECT case_id, seg, {', '.join(f'{v} AS {k}' for k, v in IDENTITIES.items())} FROM shapes",
+        "profile_scores": f"WITH {PROFILED} SELECT case_id, seg, candidate, CAST(score AS BIGINT) AS score, array_to_string(list_filter(said, lambda x, i: list_position(said, x) = i)[:8], ',') AS evidence FROM profiled",
+        "profile_candidates": corrected_sql(),
         "group_scores": f"WITH {KEYS}, p AS (SELECT DISTINCT a.case_id, a.key FROM keys a JOIN keys b ON a.case_id = b.case_id AND a.key = b.key AND a.value = b.value AND a.seg < b.seg) SELECT case_id, CAST(max(CASE key WHEN 'booking_no' THEN 1.0 WHEN 'bl_no' THEN 0.95 ELSE 0.9 END) AS DECIMAL(9,2)) AS score, string_agg(key || ' equal', '; ' ORDER BY key) AS reasons FROM p GROUP BY 1",
     }
 

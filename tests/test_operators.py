@@ -144,3 +144,18 @@ def test_booking_and_guards(spark):
     v = spark.createDataFrame([("1.2.3", "1.2.3-rc1"), ("1.10", "1.9.9"), ("2.0.0-rc2", "2.0.0-rc1")], "a string, b string")
     assert [x[0] for x in v.select(N.version_key(F.col("a")) > N.version_key(F.col("b"))).collect()] == [True] * 3
     assert checks.top_errors(spark.createDataFrame([("a",), ("b",), ("b",)], "error_type string"), 1).first().error_type == "b"
+
+
+def test_profiles_of_odd_texts(spark):
+    from quayside.operators import profiles
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "zzz"), (4, "DELIVERY ORDER\nD/O No: 5\nBill of lading\nB/L No: 7\nContainer No: TGHU1234567\nShipper: a\nConsignee: b"), (5, "packing 1ist")], "id int, text string")
+    near = spark.createDataFrame([(5, "packing list")], "id int, term string")
+    plain = {(r.id, r.candidate): r.score for r in profiles.profile_scores(docs, ["id"]).collect()}
+    nearly = {(r.id, r.candidate): r.score for r in profiles.profile_scores(docs, ["id"], profiles=(("packing_list", 10, {"layout": ("packing list",)}),), near=near).collect()}
+    assert not {1, 2, 3, 5} & {k for k, _ in plain} and nearly == {(5, "packing_list"): 23}
+    got = {r.id: (r.candidate, float(r.score)) for r in profiles.corrected(profiles.profile_scores(docs, ["id"]), docs, ["id"]).filter("place = 1").collect()}
+    assert set(got) == {3, 4, 5} and got[3] == ("unknown", 0.28)
+    # the title of a delivery order outweighs the words of a bill of lading, by the corrections
+    assert got[4][0] == "delivery_order" and plain[4, "delivery_order"] < plain[4, "bill_of_lading"]
+    assert profiles.corrected(profiles.profile_scores(docs.limit(0), ["id"]), docs.limit(0), ["id"]).count() == 0
