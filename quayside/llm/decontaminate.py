@@ -45,7 +45,7 @@ WITH_UNIT = re.compile(rb"([+-]?[0-9][0-9.,]*)([A-Za-z]+)")
 PLAIN, NUM, UNIT, CAPITAL, BOTH, NOTHING = range(6)
 SLOT_HASH = {NUM: 0xA5A5A5A501, UNIT: 0xA5A5A5A502, CAPITAL: 0xA5A5A5A503}
 ODD = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(64)], np.uint64)
-REMEMBERED = 500_000
+REMEMBERED, BATCH_BYTES = 200_000, 1 << 20
 TEMPLATE, LITERAL = range(2)
 
 
@@ -154,7 +154,7 @@ def windows_of(rows: DataFrame, key: str, text: str, bloom=None, sizes: tuple[in
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         bits = None if bloom is None else bloom.value
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", BATCH_BYTES):
             texts = b.column("t").cast(pa.binary()).to_pylist()
             found = list(canon.tokens(texts))
             place, kind, hashes, fold = (np.concatenate(x) for x in zip(*found))
