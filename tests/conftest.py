@@ -17,7 +17,9 @@ def spark(tmp_path_factory):
 
     work = tmp_path_factory.mktemp("spark")
     s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false")
+        # small tables: less time goes to compiling, none to a second plan of every stage
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1 -XX:+UseParallelGC").config("spark.sql.adaptive.enabled", "false").config("spark.sql.codegen.wholeStage", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(work / "warehouse")).config("spark.checkpoint.dir", f"file://{work}/shared").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("OFF")

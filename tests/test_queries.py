@@ -3,16 +3,27 @@
 import pytest
 from conftest import SF, rows
 
-from quayside.plans import more, more_oracle, oracle
+from quayside.plans import advice, advice_oracle, more, more_oracle, oracle
 from quayside.plans import queries as plans
 
 
+@pytest.fixture(scope="module", autouse=True)
+def parsed_once(spark):
+    """The fields of the papers and the comparison are the same in all queries: made once for all tests."""
+    mp = pytest.MonkeyPatch()
+    for name in ("fields", "firsts", "results"):
+        held = getattr(plans, name)(spark, SF).persist()
+        mp.setattr(plans, name, lambda *_, held=held: held)
+    yield
+    mp.undo()
+
+
 def queries():
-    return plans.queries() | more.queries()
+    return plans.queries() | more.queries() | advice.queries()
 
 
 def oracle_sql():
-    return oracle.oracle_sql() | more_oracle.oracle_sql()
+    return oracle.oracle_sql() | more_oracle.oracle_sql() | advice_oracle.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
