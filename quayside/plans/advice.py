@@ -152,7 +152,7 @@ def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     warnings = every.filter(n % 6 == 0).select(n.alias("case_id"), F.explode(F.array(F.lit("w4"), F.lit("w2"), F.lit("w1"), F.lit("w3"))).alias("warning"))
     details = execute.comparison_details(Q.results(spark, sf_dir), warnings, ORDER)
     found = execute.findings(matched, table, cases, Q.firsts(spark, sf_dir).select("case_id", "seg", "canonical"), details)
-    return found.select("case_id", F.col("seg").cast("long").alias("seg"), "rule_id", "message")
+    return found.select("case_id", F.coalesce("seg", F.lit(-1)).cast("long").alias("seg"), "rule_id", "message")
 
 
 def queries() -> dict[str, Q.Query]:

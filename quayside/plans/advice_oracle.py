@@ -82,7 +82,7 @@ def findings_sql() -> str:
             parts.append(f"SELECT case_id, seg, '{r}' AS rule_id, '{lv} {r}: {d} Missing parser fields: ' || {lacks} AS message FROM have JOIN figures ON n = case_id WHERE {where} AND {lacks} <> ''")
         else:
             said = says.get(c, "'{d}'").format(d=d)
-            parts.append(f"SELECT case_id, NULL AS seg, '{r}' AS rule_id, '{lv} {r}: ' || {said} AS message FROM told WHERE {where} AND {said} IS NOT NULL")
+            parts.append(f"SELECT case_id, -1 AS seg, '{r}' AS rule_id, '{lv} {r}: ' || {said} AS message FROM told WHERE {where} AND {said} IS NOT NULL")
     return f"""{RESULTS},
 have AS (SELECT case_id, CAST(seg AS BIGINT) AS seg, list(DISTINCT canonical) AS have FROM firsts GROUP BY 1, 2),
 acts AS (SELECT case_id, field || ' ' || status AS x, row_number() OVER (PARTITION BY case_id ORDER BY {PLACE}) AS i FROM results WHERE status IN ('MISMATCH', 'MISSING', 'HIGH_RISK')),
