@@ -18,12 +18,12 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 from typing import BinaryIO, NamedTuple
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -124,8 +124,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.runs_at = {}, {"\n": 0}
-        self.word_ids, self.word_ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        # the empty word stands before and after white space at a text's ends
+        self.words, self.runs_at = {b"": 0}, {"\n": 0}
+        self.word_ids, self.word_ends = np.zeros(0, np.uint32), np.zeros(2, np.int64)
         self.run_ids, self.run_ends = np.zeros(0, np.uint32), np.zeros(2, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
@@ -183,12 +184,16 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.words) > REMEMBERED:
             self.forget()
-        lists = [t.split() for t in texts]
-        if fresh := list(set(chain.from_iterable(lists)).difference(self.words)):
+        # Arrow cuts the words and numbers the distinct ones; only these meet a Python table
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        counted = lists.flatten().dictionary_encode()
+        distinct = counted.dictionary.view(pa.large_binary()).to_pylist()
+        if fresh := [w for w in distinct if w not in self.words]:
             self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh))))
             self.learn(fresh)
-        place = self.words.__getitem__
-        return [gathered(self.word_ids, self.word_ends, np.fromiter(map(place, words), np.int64, len(words))) for words in lists]
+        rows = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))[counted.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        return [gathered(self.word_ids, self.word_ends, rows[i:j]) for i, j in zip(ends[:-1], ends[1:])]
 
 
 def gathered(ids: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
