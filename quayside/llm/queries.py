@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import chat_format, decontaminate, license_scan, line_dedup, lm_score, pii, quality, simhash, sp_sampling, token_frames
+from quayside.llm import chat_format, decontaminate, license_scan, line_dedup, lm_score, periodic, pii, quality, secret_scan, simhash, sp_sampling, spelling, token_frames
 from quayside.llm.common import read
 
 
@@ -119,8 +120,57 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(read(spark, sf_dir, "documents"), changed=dropped_letter)
+    return spelling.forms(counts)
+
+
+def dropped_letter(key: Column, word: Column) -> Column:
+    """One word in 199, by the checksum of its document and itself, loses the letter that the checksum names."""
+    h = F.crc32(F.concat(key.cast("string"), F.lit(":"), word))
+    at = F.when(word == "", 0).otherwise(h % F.length(word)).cast("int")
+    return F.when(h % 199 == 0, F.concat(F.left(word, at), word.substr(at + 2, F.length(word)))).otherwise(word)
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find(read(spark, sf_dir, "documents"))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(counted, secret_scan.KINDS), F.sha2(shown(F.filter("spans", lambda x: x["kind"] != "markov")), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(read(spark, sf_dir, "documents"), prepare=periodic_tail)
+    best = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("s"), (-x["period"]).alias("p"))))
+    said = F.concat(F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string"))), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.s")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2(said, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def periodic_tail(key: object, words: list[bytes]) -> list[bytes]:
+    """The words of every tenth document, by its key's checksum, go on with a period from a word that the checksum names."""
+    h, n = zlib.crc32(str(key).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_chat_format, op4_lm_score, op5_pii, op6_decontaminate, op7_token_frames, op8_sp_sampling, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_chat_format, op4_lm_score, op5_pii, op6_decontaminate, op7_token_frames, op8_sp_sampling, op9_quality, op10_simhash, op11_spelling, op12_secrets, op13_periodic)}
 
 
 def oracle_sql() -> dict[str, str]:
