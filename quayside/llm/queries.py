@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quayside.llm import chat_format, decontaminate, license_scan, line_dedup, lm_score, periodic, pii, quality, secret_scan, simhash, sp_sampling, spelling, token_frames
 from quayside.llm.common import read
+from quayside.llm.word_oracle import OP11_SQL, OP13_SQL
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_chat_format": OP3_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op11_spelling": OP11_SQL, "op13_periodic": OP13_SQL}
