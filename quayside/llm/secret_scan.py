@@ -3,9 +3,10 @@
 Only DataFrame functions. One pass over the texts keeps of each row what the patterns and the candidate tokens match and how much
 text stands before each match; texts themselves are not shuffled or stored. Labelled samples train two chains over characters:
 values that the patterns found are random strings; other candidate tokens, and a few identifiers as programs write them, are
-ordinary. Every distinct token of the table counts once. Ordinary tokens that are more like random strings by one fit are left
-out of the next: they may be secrets that no pattern found. What is collected of a fit is a table of character pairs, 2 * 95 * 95 numbers at most. A candidate is a secret where
-its log-likelihood ratio reaches THRESHOLD, unless it lies on a span of the patterns.
+ordinary. Every distinct token of the table counts once. The first fit takes plain words for ordinary; each other adds what the one
+before finds ordinary, as the rest may be secrets that no pattern found. What is collected of a fit is a table of character pairs,
+2 * 95 * 95 numbers at most. A candidate is a secret where its log-likelihood ratio reaches THRESHOLD, unless it lies on a span of
+the patterns.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ BASE = {
 #: A candidate token: a longest run of these characters, one of them a letter.
 TOKEN = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}"
 #: Least log-likelihood ratio (natural logarithm) of a secret, added to each pair's count, number of characters, weight of a sample below, fits.
-THRESHOLD, ALPHA, CHARACTERS, GIVEN, ROUNDS = 20.0, 1.0, 66, 20, 4
+THRESHOLD, ALPHA, CHARACTERS, GIVEN, ROUNDS = 14.0, 1.0, 66, 20, 3
+#: A token that is ordinary by its look: letters, capitals at the start or throughout.
+PLAIN = "^(?:[A-Z]?[a-z]+|[A-Z]+)$"
 #: Samples of ordinary identifiers, besides those of the table.
 ORDINARY = (
     "getElementById", "setAttributeValue", "toLocaleDateString", "XMLHttpRequest", "ArrayIndexOutOfBounds", "NullPointerException", "HttpServletResponse", "isAuthenticated", "handleButtonClick", "maxConnectionCount",
@@ -101,11 +104,12 @@ def labelled(found: DataFrame) -> DataFrame:
 
 
 def model(found: DataFrame, rounds: int = ROUNDS) -> Column:
-    """The weights after some rounds: each leaves out of the ordinary samples what the one before finds more like random strings."""
+    """The weights after some rounds. Ordinary samples of the first are letters of one case; each other takes those that the one
+    before finds less like random strings, so a secret that no pattern found doesn't speak for itself."""
     samples = cut(labelled(found), "samples")
-    weights = fit(samples)
+    weights = fit(samples.filter(F.col("random") | (F.col("times") > 1) | F.col("token").rlike(PLAIN)))
     for _ in range(rounds - 1):
-        weights = fit(samples.filter(F.col("random") | (ratio(F.col("token"), weights) < 0)))
+        weights = fit(samples.filter(F.col("random") | (F.col("times") > 1) | (ratio(F.col("token"), weights) < 0)))
     return weights
 
 
