@@ -121,14 +121,21 @@ def matcher_text(v: Column) -> Column:
     return F.upper(t)
 
 
+def bare_key(v: Column) -> Column:
+    return F.regexp_replace(matcher_text(v), r"[^A-Z0-9/\-.]", "")
+
+
+def vessel_alias(t: Column) -> Column:
+    for a, b in (("VOYAGE", "VOY"), ("VOY.", "VOY"), ("V.", "VOY"), ("VSL", "VESSEL")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return t
+
+
 def match_key(v: Column, kind: str) -> Column:
-    t = F.regexp_replace(matcher_text(v), r"[^A-Z0-9/\-.]", "")
+    t = bare_key(v)
     if kind in ("invoice_no", "bl_no", "booking_no", "shipping_order_no", "container_no", "container_suffix", "vessel_voyage"):
         t = repair_identifier(t)
-    if kind == "vessel_voyage":
-        for a, b in (("VOYAGE", "VOY"), ("VOY.", "VOY"), ("V.", "VOY"), ("VSL", "VESSEL")):
-            t = F.replace(t, F.lit(a), F.lit(b))
-    return t
+    return vessel_alias(t) if kind == "vessel_voyage" else t
 
 
 def normalized(field: Column, v: Column) -> Column:

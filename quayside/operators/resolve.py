@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.normalize import key_similarity
+from quayside.operators.graph import components, cut, shared_dir  # noqa: F401
 
 #: How much an equal key says.
 WEIGHTS = {
@@ -39,26 +37,61 @@ def shortened(v: Column, most: int) -> Column:
     return out
 
 
-def value_pairs(keys: DataFrame, least: float = 0.9, longest: int = 24) -> DataFrame:
-    """key, a, b (a < b), similarity of all pairs of distinct values of a key whose similarity is at least `least`.
+def allowed(length: Column, least: float) -> Column:
+    """The edits that two values may differ by, the longer of which has this length, to be alike by `least`."""
+    return F.floor(F.lit((1 - least) + 1e-9) * length).cast("int")
+
+
+def segments(least: float) -> Column:
+    """Where the segments of a value lie that may differ by k edits: k + 1 of them, as even as can be, each with its place in order."""
+    l = F.col("l")
+    k = allowed(l, least)
+    start = lambda i: F.floor(l * i / (k + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("i"), start(i).alias("p"), (start(i + 1) - start(i)).alias("s")))
+
 
-    Exact for values of up to `longest` characters: those that read alike share their folded form, and two that differ by e edits
-    share a text that is left of both when up to e characters go, e being what `least` allows for their length (a value within
-    the other differs by as many edits). Longer values meet by their folded form only. Papers are not paired here, however many
-    share a value: they belong to it. Blocks hold values of one shortened form: as many as the alphabet and places allow.
+def value_pairs(keys: DataFrame, least: float = 0.9, by: list[str] | None = None, few: int = 2, small: int = 64) -> DataFrame:
+    """by, key, a, b (a < b), similarity of all pairs of distinct values of a key (and of `by`) whose similarity is at least `least`.
+
+    Exact for values of any length. Values that read alike share their folded form. Two that differ by at most `few` edits, by what
+    `least` allows for the longer one, share a text that is left when so many characters go: selective, however much of all values
+    is the same. Where more edits are allowed, the longer value is cut into one segment more than edits; the shorter one holds one
+    of them at a place that the edits and the lengths allow. (A value within the other differs by as many edits as it is shorter.)
+    Groups (of `by` and key) of up to `small` values are compared value by value. Papers are not paired here, however many share a
+    value: they belong to it.
     """
+    by = by or []
     v = F.col("value")
-    edits = (F.lit((1 - least) + 1e-9) * F.length(v)).cast("int")
-    most = int((1 - least + 1e-9) * longest)
+    every = cut(keys.select(*by, "key", "value").distinct().filter("value <> ''").withColumn("m", F.length(v)), "values")
+    sizes = every.groupBy(*by, "key").agg(F.count("*").alias("values"))
+    sized = cut(every.join(sizes, [*by, "key"]), "sized")
+    side = lambda name, m: sized.filter(F.col("values") <= small).select(*by, "key", v.alias(name), F.col("m").alias(m))
+    direct = side("a", "ma").join(side("b", "mb"), [*by, "key"]).filter("a < b").filter(F.abs(F.col("ma") - F.col("mb")) <= allowed(F.greatest("ma", "mb"), least)).select(*by, "key", "a", "b")
+    alike = lambda df: df.withColumn("similarity", key_similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= least)
+    each = sized.filter(F.col("values") > small).drop("values")
+    if each.isEmpty():
+        return alike(direct)
+    own = allowed(F.col("m"), least)
     cases = F.array(v)
-    for e in range(1, most + 1):
-        cases = F.when((edits >= e) & (F.length(v) <= longest), shortened(v, e)).otherwise(cases)
-    # each value allows the edits of its own length: a shorter partner needs fewer, as the longer one's insertions aren't its own
+    for e in range(1, few + 1):
+        cases = F.when(own >= e, shortened(v, e)).otherwise(cases)
     blocks = F.array_union(F.array(F.concat(F.lit("="), folded(v))), F.transform(cases, lambda x: F.concat(F.lit("-"), x)))
-    each = keys.select("key", "value").distinct().filter("value <> ''").select("key", "value", F.explode(blocks).alias("block"))
-    a, b = each.withColumnRenamed("value", "a"), each.withColumnRenamed("value", "b")
-    pairs = a.join(b, ["key", "block"]).filter("a < b").select("key", "a", "b").distinct()
-    return pairs.withColumn("similarity", key_similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= least)
+    short = each.filter(own <= few).select(*by, "key", "value", F.explode(blocks).alias("block"))
+    read = each.filter(own > few).select(*by, "key", "value", F.concat(F.lit("="), folded(v)).alias("block"))
+    met = short.unionByName(read)
+    on = [*by, "key", "block"]
+    pairs = met.withColumnRenamed("value", "a").join(met.withColumnRenamed("value", "b"), on).filter("a < b").select(*by, "key", "a", "b")
+    # the longer value's segments, and the texts that the shorter one may hold of each length's segments
+    held = each.filter(own > few).withColumn("l", F.col("m")).select(*by, "key", v.alias("b"), "l", F.explode(segments(least)).alias("x"))
+    held = held.select(*by, "key", "b", "l", "x.i", F.substr(F.col("b"), F.col("x.p") + 1, F.col("x.s")).alias("block"))
+    lengths = F.filter(F.sequence(F.col("m"), F.floor(F.col("m") / F.lit(least) + 1e-6).cast("int")), lambda n: (allowed(n, least) > few) & (n - F.col("m") <= allowed(n, least)))
+    tried = each.select(*by, "key", v.alias("a"), "m", F.explode(lengths).alias("l")).select("*", F.explode(segments(least)).alias("x"))
+    k, apart = allowed(F.col("l"), least), F.col("l") - F.col("m")
+    first, last = F.greatest(F.lit(0), F.col("x.p") - F.floor((k + apart) / 2)).cast("int"), F.least(F.col("m") - F.col("x.s"), F.col("x.p") + F.floor((k - apart) / 2)).cast("int")
+    tried = tried.withColumn("first", first).withColumn("last", last).filter("last >= first").select(*by, "key", "a", "l", "x.i", "x.s", F.explode(F.sequence("first", "last")).alias("q"))
+    tried = tried.select(*by, "key", "a", "l", "i", F.substr(F.col("a"), F.col("q") + 1, F.col("s")).alias("block")).distinct()
+    far = tried.join(held, [*by, "key", "l", "i", "block"]).filter("a <> b").select(*by, "key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return alike(direct.unionByName(pairs.unionByName(far).distinct()))
 
 
 def weight(key: Column) -> Column:
@@ -93,38 +126,6 @@ def links(keys: DataFrame, near: DataFrame, least: float = 0.6) -> DataFrame:
     return own.unionByName(other)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quayside-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """v, root: the smallest vertex that each vertex of edges (a, b) reaches. Each round joins labels along edges and jumps to the
-    label's own label, and is written to shared storage; the rounds grow with the logarithm of the longest chain."""
-    spark = edges.sparkSession
-
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
-    while True:
-        heard = both.join(label, both.b == label.v).groupBy("a").agg(F.min("root").alias("m"))
-        lower = label.join(heard, label.v == heard.a).select("v", F.least("root", "m").alias("root"), F.col("root").alias("was"))
-        jump = lower.alias("x").join(lower.select(F.col("v").alias("w"), F.col("root").alias("up")), F.col("root") == F.col("w"), "left")
-        moved = cut(jump.select("v", F.least("root", F.coalesce("up", "root")).alias("root"), "was"))
-        label = moved.select("v", "root")
-        if moved.filter("root <> was").isEmpty():
-            return label
-
-
 def case_id(keys: dict[str, Column], names: Column) -> Column:
     """The first key that a case has, else a digest of its papers' names."""
     return F.coalesce(*(F.nullif(keys[k], F.lit("")) for k in CASE_KEYS if k in keys), F.concat(F.lit("CASE-"), F.upper(F.substring(F.sha1(F.array_join(names, "|")), 1, 8))))

@@ -114,14 +114,18 @@ def test_value_pairs_brute_force(spark):
     import random
 
     rng = random.Random(3)
-    values = {"".join(rng.choice("AO01IL7") for _ in range(rng.randint(1, 22))) for _ in range(60)}
+    values = {"".join(rng.choice("AO01IL7") for _ in range(rng.randint(1, 60))) for _ in range(60)}
     for v in list(values):
-        for _ in range(3):
-            i = rng.randrange(len(v))
-            values |= {v[:i] + v[i + 1 :], v[:i] + "X" + v[i:], v[:i] + "0" + v[i + 1 :], v.replace("O", "0")}
+        for edits in (1, 1, 3, 8):
+            for _ in range(min(edits, len(v) // 3 + 1)):
+                i = rng.randrange(len(v))
+                v = rng.choice([v[:i] + v[i + 1 :], v[:i] + "X" + v[i:], v[:i] + "0" + v[i + 1 :], v.replace("O", "0")]) or "A"
+            values.add(v)
     keys = spark.createDataFrame([("bl_no", v) for v in values if v], "key string, value string")
-    for least in (0.9, 0.92, 0.85):
-        got = {(r.a, r.b) for r in resolve.value_pairs(keys, least).collect()}
+    for least in (0.9, 0.92, 0.85, 0.72):
+        found = resolve.value_pairs(keys, least, small=0 if least < 0.92 else 64).collect()
+        got = {(r.a, r.b) for r in found}
+        assert len(got) == len(found)
         a, b = keys.select(F.col("value").alias("a")), keys.select(F.col("value").alias("b"))
         want = a.join(b, F.col("a") < F.col("b")).filter(N.key_similarity(F.col("a"), F.col("b")) >= least)
         assert got == {(r.a, r.b) for r in want.collect()}
