@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quayside.operators import guards, keys, resolve, shipments
 from quayside.plans.more_oracle import hint, listed
+from quayside.plans import oracle
 from quayside.plans.oracle import repaired, similar, text
 from quayside.sources import intake_folders
 
@@ -160,5 +161,6 @@ t AS (SELECT *, {scored} AS score FROM p WHERE s >= 0.72)
 SELECT batch, key, a, b, CAST(s AS DECIMAL(9,4)) AS similarity, CAST(score AS DECIMAL(9,4)) AS score, CASE WHEN score >= 0.95 THEN 'exact_match' WHEN score >= 0.8 THEN 'high_confidence' WHEN score >= 0.6 THEN 'partial_match' WHEN score > 0 THEN 'low_confidence' ELSE 'pending_review' END AS label FROM t""",
         "case_groups": f"WITH RECURSIVE {DECIDED},\n{BOTH},{REACH},{DESCRIBED}\n{CASES}",
         "case_groups_apart": f"WITH RECURSIVE {DECIDED},{APART},{DESCRIBED}\nSELECT batch, case_id, n_papers, papers, confidence FROM ({CASES})",
+        "listing_stream": oracle.oracle_sql()["snapshot_diff"],
         "shipment_groups": f"WITH RECURSIVE {INTAKE},\n{BOTH},{REACH},\n{SHIPMENTS}",
     }
