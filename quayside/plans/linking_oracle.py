@@ -161,6 +161,9 @@ t AS (SELECT *, {scored} AS score FROM p WHERE s >= 0.72)
 SELECT batch, key, a, b, CAST(s AS DECIMAL(9,4)) AS similarity, CAST(score AS DECIMAL(9,4)) AS score, CASE WHEN score >= 0.95 THEN 'exact_match' WHEN score >= 0.8 THEN 'high_confidence' WHEN score >= 0.6 THEN 'partial_match' WHEN score > 0 THEN 'low_confidence' ELSE 'pending_review' END AS label FROM t""",
         "case_groups": f"WITH RECURSIVE {DECIDED},\n{BOTH},{REACH},{DESCRIBED}\n{CASES}",
         "case_groups_apart": f"WITH RECURSIVE {DECIDED},{APART},{DESCRIBED}\nSELECT batch, case_id, n_papers, papers, confidence FROM ({CASES})",
+        "rates_as_of": """WITH cases AS (SELECT o_orderkey AS case_id, 'freight:' || c_nationkey AS ref, CAST(o_orderdate AS DATE) AS date FROM orders JOIN customer ON o_custkey = c_custkey),
+versions AS (SELECT ref, make_date(year(date), 7, 1) AS valid_from, CAST(count(*) % 7 AS VARCHAR) AS multiplier FROM cases GROUP BY 1, 2)
+SELECT case_id, c.ref, CAST(valid_from AS VARCHAR) AS valid_from, multiplier FROM cases c ASOF LEFT JOIN versions v ON c.ref = v.ref AND c.date >= v.valid_from""",
         "listing_stream": oracle.oracle_sql()["snapshot_diff"],
         "shipment_groups": f"WITH RECURSIVE {INTAKE},\n{BOTH},{REACH},\n{SHIPMENTS}",
     }

@@ -4,7 +4,7 @@ import os
 import time
 
 from quayside.operators import feedback
-from quayside.sources import files, store
+from quayside.sources import files, rates, store
 from quayside.streaming import listings
 
 LISTING = "listing long, path string, mtime long, size long"
@@ -90,3 +90,19 @@ def test_history_is_committed_once(spark, tmp_path):
     # a batch whose commit is missing is not read
     os.remove(tmp_path / "history" / "commits" / "8")
     assert {x.batch for x in store.load(spark, root, "check_items").collect()} == {"7"}
+
+
+def test_an_old_case_gets_the_old_rate(spark, tmp_path):
+    root = f"file://{tmp_path}/rates"
+    for name, day, lte, extra in (("1", "2023-01-01", 6000, '"bad": 3'), ("2", "2024-01-01", 6500, '"insurance": {"multiplier": 1.1}')):
+        file = tmp_path / f"{name}.json"
+        file.write_text('﻿{"schema_version": 1, "rate_tables": {"cfs:cbm": {"currency": "TWD", "lte_threshold": %d}, %s}}' % (lte, extra), encoding="utf-8")
+        rates.publish(spark, root, name, rates.read_nested(spark, [f"file://{file}"], day))
+    cases = spark.createDataFrame([(1, "cfs:cbm", "2022-05-05"), (2, "cfs:cbm", "2023-12-31"), (3, "cfs:cbm", "2024-01-01"), (4, "insurance", "2023-06-01"), (5, "none", "2024-06-01"), (6, None, None)], "case_id long, ref string, date string")
+    found = {x.case_id: x.rates for x in rates.as_of(cases, rates.published(spark, root)).collect()}
+    assert found == {1: None, 2: {"currency": "TWD", "lte_threshold": "6000"}, 3: {"currency": "TWD", "lte_threshold": "6500"}, 4: None, 5: None, 6: None}
+    # a correction of a version's day; and one that wasn't committed
+    rates.publish(spark, root, "3", spark.createDataFrame([("cfs:cbm", "2024-01-01", {"lte_threshold": "7000"})], "ref string, day string, rates map<string,string>").selectExpr("ref", "cast(day as date) as valid_from", "rates"))
+    assert {x.case_id: x.rates for x in rates.as_of(cases, rates.published(spark, root)).collect()}[3] == {"lte_threshold": "7000"}
+    os.remove(tmp_path / "rates" / "commits" / "3")
+    assert {x.case_id: x.rates for x in rates.as_of(cases, rates.published(spark, root)).collect()} == found
