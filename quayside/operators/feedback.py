@@ -22,6 +22,16 @@ def statistics(rows: DataFrame) -> DataFrame:
     return by.select("error_type", "n", "n_correct", (F.col("n") - F.col("n_correct")).alias("n_issues"))
 
 
+def latest_statistics(rows: DataFrame, n: int = 100) -> DataFrame:
+    """One row over the n latest rows: total, n_correct, n_issues, and errors (error_type, n) of the wrong ones: the most common first,
+    of equally common ones that which came latest. No rows give zeros and no errors."""
+    wrong = F.coalesce(~F.col("is_correct"), F.lit(True))
+    by = recent(rows, n).groupBy("error_type").agg(F.count("*").alias("n"), F.count_if(wrong).alias("issues"), F.max(F.when(wrong, F.struct("created_at", "id"))).alias("latest"))
+    errors = F.array_sort(F.collect_list(F.when(F.col("issues") > 0, F.struct("issues", "latest", "error_type"))))
+    total, issues = (F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in ("n", "issues"))
+    return by.agg(total.alias("total"), (total - issues).alias("n_correct"), issues.alias("n_issues"), F.transform(F.reverse(errors), lambda x: F.struct(x["error_type"].alias("error_type"), x["issues"].alias("n"))).alias("errors"))
+
+
 def accuracy(rows: DataFrame, keys: list[str], samples: str, failures: str) -> DataFrame:
     """keys, samples, failures, accuracy: percent to one place, 0 without samples."""
     s, f = F.sum(samples), F.sum(failures)

@@ -164,6 +164,8 @@ SELECT batch, key, a, b, CAST(s AS DECIMAL(9,4)) AS similarity, CAST(score AS DE
         "rates_as_of": """WITH cases AS (SELECT o_orderkey AS case_id, 'freight:' || c_nationkey AS ref, CAST(o_orderdate AS DATE) AS date FROM orders JOIN customer ON o_custkey = c_custkey),
 versions AS (SELECT ref, make_date(year(date), 7, 1) AS valid_from, CAST(count(*) % 7 AS VARCHAR) AS multiplier FROM cases GROUP BY 1, 2)
 SELECT case_id, c.ref, CAST(valid_from AS VARCHAR) AS valid_from, multiplier FROM cases c ASOF LEFT JOIN versions v ON c.ref = v.ref AND c.date >= v.valid_from""",
+        "feedback_latest": f"""WITH {oracle.FEEDBACK}, late AS (SELECT * FROM log ORDER BY ts DESC, id DESC LIMIT 100), e AS (SELECT error_type, count(*) AS n, max(struct_pack(ts := ts, id := id)) AS latest FROM late WHERE NOT is_correct GROUP BY 1)
+SELECT count(*) AS total, CAST(count_if(is_correct) AS BIGINT) AS n_correct, CAST(count_if(NOT is_correct) AS BIGINT) AS n_issues, (SELECT coalesce(string_agg(error_type || ':' || n, ',' ORDER BY n DESC, latest DESC), '') FROM e) AS errors FROM late""",
         "listing_stream": oracle.oracle_sql()["snapshot_diff"],
         "shipment_groups": f"WITH RECURSIVE {INTAKE},\n{BOTH},{REACH},\n{SHIPMENTS}",
     }

@@ -106,3 +106,11 @@ def test_an_old_case_gets_the_old_rate(spark, tmp_path):
     assert {x.case_id: x.rates for x in rates.as_of(cases, rates.published(spark, root)).collect()}[3] == {"lte_threshold": "7000"}
     os.remove(tmp_path / "rates" / "commits" / "3")
     assert {x.case_id: x.rates for x in rates.as_of(cases, rates.published(spark, root)).collect()} == found
+
+
+def test_statistics_of_the_latest_answers(spark):
+    log = spark.createDataFrame([(1, "2024-01-01", "ocr", False), (2, "2024-01-02", "field", False), (3, "2024-01-02", "", True), (4, "2024-01-03", "ocr", False), (5, "2024-01-03", "field", False), (6, "2024-01-04", None, None)], "id long, created_at string, error_type string, is_correct boolean")
+    x = feedback.latest_statistics(feedback.cleaned(log), 5).first()
+    assert (x.total, x.n_correct, x.n_issues) == (5, 1, 4) and [tuple(e) for e in x.errors] == [("field", 2), ("other", 1), ("ocr", 1)]
+    empty = feedback.latest_statistics(feedback.cleaned(log.limit(0))).first()
+    assert (empty.total, list(empty.errors)) == (0, [])
