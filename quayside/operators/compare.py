@@ -22,17 +22,15 @@ OPTIONAL = CHECK_FIELDS[12:]
 def compare(firsts: DataFrame, hub: tuple[str, ...] = ("declaration",), fields: tuple[str, ...] = CHECK_FIELDS, targets: tuple[str, ...] | None = None, same: object = None) -> DataFrame:
     """case_id, field, status, hub_value, n_papers, n_differ from firsts (case_id, seg, doc_type, canonical, value).
 
-    MISSING where the hub or all other papers lack the field, MISMATCH where any other paper differs, else MATCH. One shuffle,
-    by case: a case's papers are few.
+    MISSING where the hub or all other papers lack the field, MISMATCH where any other paper differs, else MATCH. Values get their
+    normal forms once, before the one shuffle, by case: a case's papers are few.
     """
     is_hub = F.col("doc_type").isin(*hub)
-    wanted = firsts.filter(F.col("canonical").isin(*fields)).repartition("case_id")
     other = ~is_hub if targets is None else F.col("doc_type").isin(*targets)
-    by_field = wanted.groupBy("case_id", "canonical").agg(F.min_by("value", F.when(is_hub, F.col("seg"))).alias("_any"), F.min(F.when(is_hub, F.struct("seg", "value"))).alias("hub"), F.collect_list(F.when(other, F.col("value"))).alias("others")).drop("_any")
-    f = F.col("canonical")
-    own = normalized(f, F.col("hub.value"))
-    agree = same or (lambda field, a, b: equivalent(field, a, b))
-    differ = F.size(F.filter("others", lambda v: ~F.coalesce(agree(f, own, normalized(f, v)), F.lit(False))))
+    wanted = firsts.filter(F.col("canonical").isin(*fields)).withColumn("_n", normalized(F.col("canonical"), F.col("value"))).repartition("case_id")
+    by_field = wanted.groupBy("case_id", "canonical").agg(F.min(F.when(is_hub, F.struct("seg", "value", "_n"))).alias("hub"), F.collect_list(F.when(other, F.col("_n"))).alias("others"))
+    agree = same or equivalent
+    differ = F.size(F.filter("others", lambda v: ~F.coalesce(agree(F.col("canonical"), F.col("hub")["_n"], v), F.lit(False))))
     shown = by_field.select("case_id", "canonical", F.col("hub.value").alias("hub_value"), F.size("others").alias("n"), F.when(F.col("hub").isNotNull(), differ).otherwise(0).alias("d"))
     cases = shown.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", F.struct("hub_value", "n", "d")))).alias("by"))
     each = cases.select("case_id", "by", F.explode(F.array(*map(F.lit, fields))).alias("field")).select("case_id", "field", F.element_at("by", F.col("field")).alias("x"))
