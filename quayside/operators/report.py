@@ -17,22 +17,33 @@ def search(rows: DataFrame, query: str = "", only_issues: bool = False) -> DataF
     return found.filter(F.col("status") != "MATCH") if only_issues else found
 
 
+def lists_of(results: Column) -> list[Column]:
+    """matched, differing, missing of a case's results (an array): fields, sorted and comma-joined."""
+    names = lambda s: F.array_join(F.array_sort(F.transform(F.filter(results, lambda x: x["status"] == s), lambda x: x["field"])), ",")
+    return [names("MATCH").alias("matched"), names("MISMATCH").alias("differing"), names("MISSING").alias("missing")]
+
+
 def differences(results: DataFrame) -> DataFrame:
     """case_id, matched, differing, missing: fields, sorted and comma-joined."""
-    names = lambda s: F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("field")))), ",")
-    return results.groupBy("case_id").agg(names("MATCH").alias("matched"), names("MISMATCH").alias("differing"), names("MISSING").alias("missing"))
+    return results.groupBy("case_id").agg(F.collect_list(F.struct("field", "status")).alias("x")).select("case_id", *lists_of(F.col("x")))
+
+
+def audit_line(x: Column) -> Column:
+    """A line for a result (a struct)."""
+    sign = F.when(x["status"] == "MATCH", "✓").when(x["status"] == "MISMATCH", "✗").otherwise("⚠")
+    return F.concat(sign, F.lit(" "), x["field"], F.lit(": "), F.coalesce(x["hub_value"], F.lit("-")), F.lit(" ("), x["n_papers"].cast("string"), F.lit(" papers, "), x["n_differ"].cast("string"), F.lit(" differ)"))
 
 
-def audit_line() -> Column:
-    """A line for a row of results."""
-    sign = F.when(F.col("status") == "MATCH", "✓").when(F.col("status") == "MISMATCH", "✗").otherwise("⚠")
-    return F.concat(sign, F.lit(" "), F.col("field"), F.lit(": "), F.coalesce("hub_value", F.lit("-")), F.lit(" ("), F.col("n_papers").cast("string"), F.lit(" papers, "), F.col("n_differ").cast("string"), F.lit(" differ)"))
+def text_of(results: Column) -> Column:
+    """The audit lines of a case's results (an array), in their order."""
+    return F.array_join(F.transform(results, audit_line), "\n")
 
 
 def report_text(results: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """case_id, report: the audit lines of a case in the order of the fields."""
     order = F.array_position(F.array(*map(F.lit, fields)), F.col("field"))
-    return results.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), audit_line().alias("x")))), lambda s: s["x"]), "\n").alias("report"))
+    one = F.struct(order.alias("o"), "field", "status", "hub_value", "n_papers", "n_differ")
+    return results.groupBy("case_id").agg(F.array_sort(F.collect_list(one)).alias("x")).select("case_id", text_of(F.col("x")).alias("report"))
 
 
 def priority() -> Column:
