@@ -44,3 +44,10 @@ def test_fast_patterns_say_the_same(spark):
     words = ["", "B/L No", "提單No.", "a_b", "x—y", "Ünit", "9 9", "鿿一", "A\tB"]
     same = spark.createDataFrame([(t,) for t in words], "t string").select(F.regexp_replace("t", extract.NOT_WORD, " ").alias("a"), F.regexp_replace("t", extract.NOT_WORD_JAVA, " ").alias("b"))
     assert same.filter("a <> b").count() == 0
+
+
+def test_organizer_takes_first_values_in_the_row(spark):
+    from quayside.plans import organizer
+
+    plan = organizer.case_tables(spark, SF).firsts._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"\bSort(Aggregate)? ?[\[(]", plan) and "Exchange hashpartitioning(case_id" not in plan
