@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.functions.normalize import PACKAGE_UNITS, collapse, number
-from quayside.operators.compare import HIGH_RISK, OPTIONAL
+from quayside.functions.normalize import PACKAGE_UNITS, bound, collapse, number
+from quayside.operators.compare import HIGH_RISK, OPTIONAL, total_of
+from quayside.operators.graph import settled
 
 #: Fields that are added up, and the shown word of a status.
 SUMS = ("package_count", "fob", "gross_weight", "net_weight")
@@ -54,6 +55,42 @@ def declaration_against_papers(fields: DataFrame, names: tuple[str, ...]) -> Dat
         F.collect_set(F.when(~F.col("own"), F.col("total"))).alias("totals"), F.max(F.when(F.col("own"), F.col("total"))).alias("total"),
         F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("own"), F.col("vs"))))).alias("papers"), F.flatten(F.collect_list(F.when(F.col("own"), F.col("vs")))).alias("declared"),
     ).filter((F.size("papers") > 0) & (F.size("declared") > 0))
+    return _declared(each)
+
+
+def _kinds(items: Column) -> Column:
+    """An array of doc_type, own (the declaration), total, vs (distinct values) of a field's values (an array of doc_type, value)."""
+    v = lambda x: F.upper(collapse(x["value"]))
+    one = lambda k: bound(F.filter(items, lambda x: x["doc_type"] == k), lambda xs: F.struct(k.alias("doc_type"), (k == "declaration").alias("own"), total_of(F.transform(xs, lambda x: x["value"])).alias("total"), F.array_distinct(F.transform(xs, v)).alias("vs")))
+    return F.transform(F.array_distinct(F.transform(items, lambda x: x["doc_type"])), one)
+
+
+def _full(grouped: DataFrame, test: Column | None = None) -> DataFrame:
+    """case_id, canonical, n, kinds of grouped (case_id, canonical, items): values that aren't empty, all made once."""
+    some = F.filter("items", lambda x: (x["value"] != "") & (F.lit(True) if test is None else test(x)))
+    rows = grouped.select("case_id", "canonical", F.explode(F.array(some)).alias("items")).filter(F.size("items") > 0)
+    return rows.select("case_id", "canonical", F.size("items").alias("n"), F.explode(F.array(_kinds(F.col("items")))).alias("kinds"))
+
+
+def formal_compare_of(grouped: DataFrame) -> DataFrame:
+    """formal_compare() of a case's values by field (case_id, canonical, items), in their rows."""
+    totals = F.array_distinct(F.filter(F.transform("kinds", lambda k: k["total"]), lambda t: t.isNotNull()))
+    every = F.array_distinct(F.flatten(F.transform("kinds", lambda k: k["vs"])))
+    ok = F.when(F.col("canonical").isin(*SUMS), F.size(totals) <= 1).otherwise(F.size(every) == 1)
+    return _full(grouped, lambda x: x["doc_type"] != "declaration").filter("n >= 2").select("case_id", F.col("canonical").alias("field"), F.when(ok, "MATCH").otherwise("MISMATCH").alias("status"))
+
+
+def declaration_against(grouped: DataFrame) -> DataFrame:
+    """declaration_against_papers() of a case's values by field (case_id, canonical, items), in their rows."""
+    others, own = F.filter("kinds", lambda k: ~k["own"]), F.filter("kinds", lambda k: k["own"])
+    each = settled(_full(grouped).select(
+        "case_id", "canonical", F.array_distinct(F.filter(F.transform(others, lambda k: k["total"]), lambda t: t.isNotNull())).alias("totals"), F.get(own, F.lit(0))["total"].alias("total"),
+        F.array_distinct(F.flatten(F.transform(others, lambda k: k["vs"]))).alias("papers"), F.flatten(F.transform(own, lambda k: k["vs"])).alias("declared"),
+    )).filter((F.size("papers") > 0) & (F.size("declared") > 0))
+    return _declared(each)
+
+
+def _declared(each: DataFrame) -> DataFrame:
     boxes = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda x: F.regexp_extract_all(x, F.lit(r"([A-Z]{4}\d{7})"), F.lit(1)))))
     held = (F.size(boxes("papers")) > 0) & (F.size(F.array_except(boxes("papers"), boxes("declared"))) == 0)
     ok = (
@@ -64,6 +101,12 @@ def declaration_against_papers(fields: DataFrame, names: tuple[str, ...]) -> Dat
     return each.filter(ok.isNotNull()).select("case_id", F.col("canonical").alias("field"), F.when(ok, "MATCH").otherwise("MISMATCH").alias("status"))
 
 
+def shown_values(items: Column) -> Column:
+    """values_by_field() of an array of a field's values."""
+    every = F.array_sort(F.transform(items, lambda x: F.struct(x["seg"].alias("seg"), x["ord"].alias("ord"), F.concat(x["doc_type"], F.lit(": "), x["value"]).alias("x"))))
+    return F.array_join(F.transform(every, lambda s: s["x"]), "; ")
+
+
 def exact_cif() -> Column:
     """From fob, freight, insurance, cif: whether they add up exactly."""
     parts = F.col("fob") + F.col("freight") + F.col("insurance")

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.operators.segment import last_of
+
 
 def pivot_values(firsts: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """case_id, field and a column for each kind of paper, in the given order: its last value."""
     return firsts.groupBy("case_id", F.col("canonical").alias("field")).pivot("doc_type", list(kinds)).agg(F.max_by("value", "seg"))
 
 
+def pivoted(items: Column, kinds: tuple[str, ...]) -> list[Column]:
+    """The same of an array of a field's values, in its row."""
+    return [last_of(F.filter(items, lambda x: x["doc_type"] == k)).alias(k) for k in kinds]
+
+
 def search(rows: DataFrame, query: str = "", only_issues: bool = False) -> DataFrame:
     """Rows that hold the query in any column, case aside; only those with an issue if asked."""
     found = rows.filter(F.contains(F.lower(F.concat_ws(" ", *(F.col(c).cast("string") for c in rows.columns))), F.lit(query.lower()))) if query else rows

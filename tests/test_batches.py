@@ -59,3 +59,21 @@ def test_lines_are_not_read_by_interpreted_expressions(spark):
     for name in ("line_fields", "first_field", "compare_declaration", "compare_export"):
         plan = plans.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "regexp_replace" not in plan.split("MapInArrow")[-1]
+
+
+@pytest.mark.parametrize("name", ["declaration_totals", "formal_compare", "parsed_items", "paper_bridges", "case_ids", "last_key", "handled_fields", "values_by_field", "pivot_compare", "consensus", "totals_by_type"])
+def test_a_cases_fields_stay_in_its_row(spark, name):
+    """Shuffles of every field by case outgrew the disk, and a task's memory grew with the cases that it gathered."""
+    from quayside.plans import advice, more
+
+    plan = (plans.queries() | more.queries() | advice.queries())[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    after = plan.split("MapInArrow")[0]
+    assert "Exchange" not in after and "Aggregate" not in after and "Join" not in after and "Sort" not in after
+
+
+def test_totals_of_a_row(spark):
+    values = [["1,000.5 KGS", "none"], ["0.0049999999", "0.0000000001"], ["none"], [], ["1", "2", "-3"]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v array<string>").select("i", compare.total_of(F.col("v")).alias("t"))
+    by_sum = spark.createDataFrame([(i, x) for i, v in enumerate(values) for x in v], "i int, x string").groupBy("i").agg(F.sum(compare.number(F.col("x"))).cast("decimal(38,2)").alias("t"))
+    want = {r.i: r.t for r in by_sum.collect()}
+    assert {r.i: r.t for r in df.collect()} == {i: want.get(i) for i in range(len(values))}
