@@ -77,3 +77,17 @@ def test_totals_of_a_row(spark):
     by_sum = spark.createDataFrame([(i, x) for i, v in enumerate(values) for x in v], "i int, x string").groupBy("i").agg(F.sum(compare.number(F.col("x"))).cast("decimal(38,2)").alias("t"))
     want = {r.i: r.t for r in by_sum.collect()}
     assert {r.i: r.t for r in df.collect()} == {i: want.get(i) for i in range(len(values))}
+
+
+def test_papers_are_linked_without_a_vertex_for_each_value(spark):
+    """Texts as vertices made the rounds of the components take most of the time."""
+    from quayside.operators import resolve
+
+    rows = [(0, "bl_no", "TWBL0000001"), (4, "bl_no", "TWBLO000001"), (5, "bl_no", "TWBL0000001"), (5, "invoice_no", "INV7"), (9, "invoice_no", "INV7"), (12, "eta", "X"), (13, "eta", "X"), (20, "container_no", "TGHU1"), (21, "bl_no", "OTHER")]
+    keys = spark.createDataFrame(rows, "seg_id long, key string, value string")
+    near = resolve.value_pairs(keys, 0.92)
+    found = resolve.components(resolve.paper_links(keys, near))
+    assert found.schema["v"].dataType.simpleString() == "bigint"
+    old = resolve.components(resolve.links(keys, near)).filter("v LIKE 'p:%'").select(F.substring("v", 3, 20).cast("long").alias("v"), F.substring("root", 3, 20).alias("root"))
+    parts = lambda df: sorted(sorted(r.vs) for r in df.groupBy("root").agg(F.collect_list("v").alias("vs")).collect())
+    assert parts(found) == parts(old) == [[0, 4, 5, 9], [20], [21]]
