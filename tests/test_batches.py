@@ -91,3 +91,17 @@ def test_papers_are_linked_without_a_vertex_for_each_value(spark):
     old = resolve.components(resolve.links(keys, near)).filter("v LIKE 'p:%'").select(F.substring("v", 3, 20).cast("long").alias("v"), F.substring("root", 3, 20).alias("root"))
     parts = lambda df: sorted(sorted(r.vs) for r in df.groupBy("root").agg(F.collect_list("v").alias("vs")).collect())
     assert parts(found) == parts(old) == [[0, 4, 5, 9], [20], [21]]
+
+
+def test_rows_keep_their_columns_beside_their_fields(spark):
+    docs = spark.createDataFrame([(i, None if i % 2 else "x", t) for i, t in enumerate(ODD)], "id long, source string, text string")
+    got = batches.read(docs)
+    assert got.columns == ["id", "source", "fields"]
+    same(got, docs.select("id", "source", extract.parsed(F.col("text")).alias("fields")))
+
+
+def test_organizer_reads_papers_in_batches(spark):
+    from quayside.plans import organizer
+
+    plan = organizer.case_tables(spark, SF).fields._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
