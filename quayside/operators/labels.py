@@ -71,6 +71,20 @@ def behind(text: Column, low: Column, label: str) -> list[Column]:
     return out
 
 
+def found_fields(kind: Column, text: Column, low: Column, tables: Tables) -> Column:
+    """An array of field, value for a tidy text and its small letters."""
+    kinds: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for own, fields in tables.items():
+        for field, labels in fields.items():
+            kinds.setdefault((field, labels), []).append(own)
+    found = []
+    for (field, labels), own in kinds.items():
+        each = [v for x in sorted(labels, key=len, reverse=True) for v in behind(text, low, x)]
+        found.append(F.when(kind.isin(*own), F.struct(F.lit(field).alias("field"), F.coalesce(*each).alias("value"))))
+    # a filter over the array keeps the many patterns out of generated code, which they would outgrow
+    return F.filter(F.array(*found), lambda f: f["value"].isNotNull())
+
+
 def label_fields(papers: DataFrame, tables: Tables = TABLES) -> DataFrame:
     """papers' columns but text, then field, value: of each field of the paper's kind (doc_type; other names count) the value behind its
     longest label, where a line starts with it before anywhere else. A colon or # stands between, on the same line or the next.
@@ -79,26 +93,17 @@ def label_fields(papers: DataFrame, tables: Tables = TABLES) -> DataFrame:
     kept = [c for c in papers.columns if c != "text"]
     rows = papers.select(*kept, kind_of(F.col("doc_type")).alias("_kind"), F.explode(F.array(tidy(F.coalesce("text", F.lit("")))))).withColumnRenamed("col", "_t")
     rows = rows.filter(F.col("_kind").isin(*tables) & (F.col("_t") != "")).withColumn("_low", F.lower("_t"))
-    kinds: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    for kind, fields in tables.items():
-        for field, labels in fields.items():
-            kinds.setdefault((field, labels), []).append(kind)
-    found = []
-    for (field, labels), own in kinds.items():
-        each = [v for x in sorted(labels, key=len, reverse=True) for v in behind(F.col("_t"), F.col("_low"), x)]
-        found.append(F.when(F.col("_kind").isin(*own), F.struct(F.lit(field).alias("field"), F.coalesce(*each).alias("value"))))
-    # a filter over the array keeps the many patterns out of generated code, which they would outgrow
-    there = F.filter(F.array(*found), lambda f: f["value"].isNotNull())
-    return rows.select(*kept, F.explode(there).alias("_f")).select(*kept, "_f.field", "_f.value")
+    return rows.select(*kept, F.explode(found_fields(F.col("_kind"), F.col("_t"), F.col("_low"), tables)).alias("_f")).select(*kept, "_f.field", "_f.value")
 
 
 def read_papers(papers: DataFrame, keys: list[str], tables: Tables = TABLES) -> DataFrame:
     """keys, kind, source, n_fields, fields, error: one row for each paper; a file of a kind that isn't read has an error and no fields."""
+    # every paper stays in its row: its fields are neither joined to it nor gathered
     end = suffix(F.col("source"))
     error = F.when(~end.isin(*READ), F.concat(F.lit(UNREAD), F.regexp_extract("source", r"(\.[^./\\]*)$", 1)))
-    told = papers.withColumn("_e", error)
-    fields = label_fields(told.filter("_e IS NULL").select(*keys, "doc_type", "text"), tables)
-    one = told.select(*keys, kind_of(F.col("doc_type")).alias("kind"), "source", F.col("_e").alias("error"), F.lit(None).cast("struct<field:string,value:string>").alias("f"))
-    every = one.unionByName(fields.select(*keys, F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("error"), F.struct("field", "value").alias("f")))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda x: F.concat(x["field"], F.lit("="), x["value"])), "\n")
-    return every.groupBy(*keys).agg(F.max("kind").alias("kind"), F.max("source").alias("source"), F.count("f").alias("n_fields"), lines.alias("fields"), F.max("error").alias("error"))
+    text = F.when(error.isNull(), F.coalesce("text", F.lit("")))
+    told = papers.select(*keys, "source", F.explode(F.array(F.struct(kind_of(F.col("doc_type")).alias("kind"), error.alias("error"), tidy(F.coalesce(text, F.lit(""))).alias("t")))).alias("x")).select(*keys, "source", "x.*").withColumn("low", F.lower("t"))
+    there = F.when(F.col("kind").isin(*tables) & (F.col("t") != ""), found_fields(F.col("kind"), F.col("t"), F.col("low"), tables))
+    found = told.select(*keys, "kind", "source", "error", F.explode(F.array(F.coalesce(there, F.array()))).alias("fs"))
+    lines = F.array_join(F.transform(F.array_sort("fs"), lambda x: F.concat(x["field"], F.lit("="), x["value"])), "\n")
+    return found.select(*keys, "kind", "source", F.size("fs").cast("long").alias("n_fields"), lines.alias("fields"), "error")

@@ -67,3 +67,9 @@ def test_query_matches_sql(spark, duck, name):
     got, want = exports.queries()[name](spark, SF).toPandas(), duck.sql(exports_oracle.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert plain_rows(got) == plain_rows(want)
+
+
+def test_a_papers_fields_stay_in_its_row(spark):
+    """Every field was shuffled to its paper."""
+    papers = spark.createDataFrame([(1, "INV", "a.pdf", "FOB: 1")], "id long, doc_type string, source string, text string")
+    assert "Exchange" not in labels.read_papers(papers, ["id"])._jdf.queryExecution().executedPlan().toString()
