@@ -51,3 +51,27 @@ def test_organizer_takes_first_values_in_the_row(spark):
 
     plan = organizer.case_tables(spark, SF).firsts._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"\bSort(Aggregate)? ?[\[(]", plan) and "Exchange hashpartitioning(case_id" not in plan
+
+
+def test_a_text_is_profiled_once_and_in_its_row(spark):
+    """Each text was normalized twice and searched by interpreted expressions, and its scores were grouped and joined to it."""
+    from quayside.operators.profile_batches import TEXTS
+
+    texts = [None, "", " ", "zzz", "\t\n 　", "DELIVERY ORDER\nD/O No: 5\nBill of lading\nB/L No: 7\nContainer No: TGHU1234567", "IMPORT DECLARATION\r\nDeclaration No: AA0000000001\nCIF: USD 1,000.00\n稅額： 5\x85毛重: 3 KGS", "Packing LIST\n" + "x\n" * 20 + "Delivery Order d/o", "ΣΑΣ İnvoice ■■ |a|b|", "艙單號碼 " * 9, "INVOICE\nInvoice No: INV-00001\nAmount: USD 5.25\nBuyer: a_no\n" * 3]
+    docs = spark.createDataFrame([(i, t, n) for i, t in enumerate(texts) for n in (i,)], "id int, text string, n int").withColumn("file", F.when(F.col("n") % 3 == 0, F.lit("INV／海.txt")).when(F.col("n") % 3 == 1, F.lit(" PL\tx")))
+    near = spark.createDataFrame([(3, "packing list"), (3, "bill of lading"), (9, "nowhere")], "id int, term string")
+    for name, more in ((None, None), (F.col("file"), None), (None, near)):
+        got = profiles.candidates(docs, ["id"], name=name, near=more)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and (more is not None or "Exchange" not in plan)
+        want = profiles.corrected(profiles.profile_scores(docs, ["id"], name=name, near=more), docs, ["id"])
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
+    # shapes, against the expressions that they stand for
+    t = F.coalesce("text", F.lit(""))
+    raw = F.filter(F.split(t, r"\R", -1), lambda x: F.trim(x) != "")
+    from quayside.functions.normalize import classifier_text
+
+    want = docs.select("id", classifier_text(t).alias("normal"), classifier_text(F.array_join(F.slice(raw, 1, profiles.HEADER_LINES), "\n")).alias("header"), classifier_text(F.coalesce("file", F.lit(""))).alias("file"), F.size(raw).alias("lines"), F.regexp_count(classifier_text(t), F.lit("[0-9]")).alias("digits"), F.length(classifier_text(t)).alias("chars"))
+    assert sorted(map(tuple, profiles.shapes(docs, ["id"], F.col("file")).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    many = spark.range(TEXTS + 3).select("id", F.concat(F.lit("packing list "), "id").alias("text"))
+    assert profiles.candidates(many.coalesce(1), ["id"]).filter("place = 1").count() == TEXTS + 3
